@@ -1,6 +1,6 @@
 """Op 2: mixing documents to target weights over soft domains.
 
-A softmax classifier, learned on the labelled table, gives each document a posterior p over domains (quality x toxic).
+A softmax classifier over the presence of chosen terms, learned on the labelled table, gives each document a posterior p over domains (quality x toxic).
 With n tokens in a document and T in all, the rates r >= 0 minimise
 
     || sum_d r_d n_d p_d / T - b ||^2
@@ -23,8 +23,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import common as C
+from .common import U64
 
 SAMPLE, MOST_BYTES, FEATURES, ROUNDS, TOLERANCE, CHUNK = 6000, 20_000, 2048, 60, 1e-3, 1 << 20
 #: Target shares of all tokens: good and clean text is raised, the others are lowered.
@@ -32,28 +34,52 @@ DOMAINS = ("q0t0", "q0t1", "q1t0", "q1t1")
 TARGET = {"q0t0": 0.10, "q0t1": 0.0, "q1t0": 0.87, "q1t1": 0.03}
 
 
-def features(text: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(unit vectors of log counts of hashed 4-byte strings, tokens between white space) of UTF-8 texts."""
-    rows, n = len(off) - 1, len(text)
-    of = np.repeat(np.arange(rows), np.diff(off))
-    out = np.zeros((rows, FEATURES), np.float32)
-    if n >= 4:
-        low = np.where((text >= 65) & (text <= 90), text + 32, text).astype(np.uint32)
-        code = low[:-3] | low[1:-2] << 8 | low[2:-1] << 16 | low[3:] << 24
-        bucket = ((code * np.uint32(0x9E3779B1)) >> np.uint32(32 - FEATURES.bit_length() + 1)).astype(np.int64)
-        inside = of[:-3] == of[3:]
-        counts = np.bincount(of[:-3][inside] * FEATURES + bucket[inside], minlength=rows * FEATURES)
-        out = np.log1p(counts.reshape(rows, FEATURES).astype(np.float32))
-        out /= np.maximum(np.sqrt((out * out).sum(axis=1)), 1e-9)[:, None]
-    space = (text == 32) | ((text >= 9) & (text <= 13))
-    begins = ~space
-    begins[1:] &= space[:-1] | (of[1:] != of[:-1])
-    return out, np.bincount(of[begins], minlength=rows)
+KIND = np.full(256, 1, np.uint8)  # letters and bytes beyond ASCII; 0 white space, 2 digits, 3 other signs
+KIND[:128] = [0 if c in b" \t\n\v\f\r" else 1 if chr(c).isalpha() else 2 if chr(c).isdigit() else 3 for c in range(128)]
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
+BITS = 18
+
+
+class Terms:
+    """Hashed terms (runs of bytes of one kind, in lower case) and tokens (runs between white space) of UTF-8 texts."""
+
+    def __init__(self) -> None:
+        self.table, self.powers = C.byte_table(2)[LOWER], C.Powers()
+
+    def __call__(self, text: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row of each term, its hash of BITS bits, tokens of each row)."""
+        rows, n = len(off) - 1, len(text)
+        if not n:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(rows, np.int64)
+        up, down = self.powers.get(n + 1)
+        h = np.concatenate((np.zeros(1, U64), np.cumsum(self.table[text] * up[:n])))
+        kind = KIND[text]
+        edge = np.zeros(n + 1, bool)
+        edge[off] = True
+        token = (kind > 0) & edge[:n]
+        token[1:] |= (kind[1:] > 0) & (kind[:-1] == 0)
+        edge[1:n] |= kind[1:] != kind[:-1]
+        at = np.flatnonzero(edge)
+        s, e = at[:-1], at[1:]
+        words = kind[s] > 0
+        s, e = s[words], e[words]
+        row = np.searchsorted(off, s, "right") - 1
+        counts = np.bincount(np.searchsorted(off, np.flatnonzero(token), "right") - 1, minlength=rows)
+        return row, (C.mix((h[e] - h[s]) * down[s]) >> U64(64 - BITS)).astype(np.int64), counts
 
 
 class Classifier:
-    def __init__(self, w: np.ndarray, b: np.ndarray) -> None:
-        self.w, self.b = w, b
+    """Softmax over the presence of chosen terms."""
+
+    def __init__(self, chosen: np.ndarray, w: np.ndarray, b: np.ndarray) -> None:
+        self.chosen, self.w, self.b = chosen, w, b
+
+    def present(self, row: np.ndarray, term: np.ndarray, rows: int) -> np.ndarray:
+        f = self.chosen[term]
+        out = np.zeros((rows, len(self.w)), np.float32)
+        out[row[f >= 0], f[f >= 0]] = 1
+        return out
 
     def posterior(self, x: np.ndarray) -> np.ndarray:
         z = x @ self.w + self.b
@@ -61,17 +87,33 @@ class Classifier:
         return z / z.sum(axis=1, keepdims=True)
 
 
-def fit(x: np.ndarray, y: np.ndarray, k: int, rounds: int = 150, l2: float = 1e-4) -> Classifier:
-    """Softmax regression by accelerated gradient descent."""
-    w, b = np.zeros((x.shape[1], k), np.float32), np.log(np.maximum(np.bincount(y, minlength=k), 0.5) / len(y)).astype(np.float32)
-    v, vb, truth = w, b, np.eye(k, dtype=np.float32)[y]
+def fit(row: np.ndarray, term: np.ndarray, y: np.ndarray, k: int, rounds: int = 200, l2: float = 1e-3) -> Classifier:
+    """The FEATURES terms that depend most on the domain (chi square), and a regression by accelerated descent."""
+    prior = np.maximum(np.bincount(y, minlength=k), 0.5) / len(y)
+    pairs = np.unique(row * (1 << BITS) + term)
+    row, term = pairs >> BITS, pairs & ((1 << BITS) - 1)
+    seen = np.stack([np.bincount(term[y[row] == c], minlength=1 << BITS) for c in range(k)], axis=1)
+    usual = seen.sum(axis=1, keepdims=True) * prior
+    chosen = np.full(1 << BITS, -1, np.int64)
+    top = np.argsort(-((seen - usual) ** 2 / (usual + 1)).sum(axis=1), kind="stable")[:FEATURES]
+    chosen[top] = np.arange(len(top))
+    model = Classifier(chosen, np.zeros((len(top), k), np.float32), np.log(prior).astype(np.float32))
+    x = model.present(row, term, len(y))
+    v = np.ones(len(top), np.float32)
+    for _ in range(10):
+        v = x.T @ (x @ v)
+        v /= max(np.linalg.norm(v), 1e-9)
+    step = 1 / (0.5 * np.linalg.norm(x @ v) ** 2 / len(y) + l2 + 0.5)
+    truth = np.eye(k, dtype=np.float32)[y]
+    w, b = model.w, model.b
+    ahead = Classifier(chosen, w, b)
     for t in range(rounds):
-        p = Classifier(v, vb).posterior(x)
-        g = (p - truth) / len(y)
-        nw, nb = v - 2.0 * (x.T @ g + l2 * v), vb - 2.0 * g.sum(axis=0)
-        m = t / (t + 3)
-        v, vb, w, b = nw + m * (nw - w), nb + m * (nb - b), nw, nb
-    return Classifier(w, b)
+        g = (ahead.posterior(x) - truth) / len(y)
+        nw, nb = ahead.w - step * (x.T @ g + l2 * ahead.w), ahead.b - step * g.sum(axis=0)
+        m = np.float32(t / (t + 3))
+        ahead = Classifier(chosen, nw + m * (nw - w), nb + m * (nb - b))
+        w, b = nw, nb
+    return Classifier(chosen, w, b)
 
 
 def learn(docs: DataFrame, labels: DataFrame) -> Classifier | None:
@@ -82,27 +124,30 @@ def learn(docs: DataFrame, labels: DataFrame) -> Classifier | None:
     rows = sorted({(r[0], r[1], r[2]) for r in rows.collect()})[:SAMPLE]
     if not rows:
         return None
-    raw = [r[2].encode("utf-8", "replace") for r in rows]
-    x = np.concatenate([features(np.frombuffer(b"".join(raw[i : i + 200]), np.uint8), np.concatenate(([0], np.cumsum([len(t) for t in raw[i : i + 200]]))).astype(np.int64))[0] for i in range(0, len(raw), 200)])
-    return fit(x, np.array([r[1] for r in rows]), len(DOMAINS))
+    terms, found = Terms(), []
+    for lo in range(0, len(rows), 200):
+        raw = [r[2].encode("utf-8", "replace") for r in rows[lo : lo + 200]]
+        row, term, _ = terms(np.frombuffer(b"".join(raw), np.uint8), np.concatenate(([0], np.cumsum([len(t) for t in raw]))).astype(np.int64))
+        found.append((row + lo, term))
+    return fit(*(np.concatenate(x) for x in zip(*found, strict=True)), np.array([r[1] for r in rows]), len(DOMAINS))
 
 
 def posteriors(docs: DataFrame, model: Classifier | None, keep: list[str]) -> DataFrame:
     """The columns `keep` with tokens (long) and posterior (array<double>)."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)  # FEATURES x domains numbers
+    sent = docs.sparkSession.sparkContext.broadcast(model)  # 2^BITS places and FEATURES x domains numbers
     at = len(keep)
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = sent.value
+        m, terms = sent.value, Terms()
         for batch in batches:
             text, off = C.strings(batch.column(at))
             for lo, hi in C.chunks(off, CHUNK):
-                x, tokens = features(text[off[lo] : off[hi]], off[lo : hi + 1] - off[lo])
-                p = m.posterior(x).astype(np.float64) if m else np.full((hi - lo, len(DOMAINS)), 1 / len(DOMAINS))
+                row, term, tokens = terms(text[off[lo] : off[hi]], off[lo : hi + 1] - off[lo])
+                p = m.posterior(m.present(row, term, hi - lo)).astype(np.float64) if m else np.full((hi - lo, len(DOMAINS)), 1 / len(DOMAINS))
                 p = pa.ListArray.from_arrays(np.arange(0, p.size + 1, len(DOMAINS), dtype=np.int32), p.ravel())
                 yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(lo, hi - lo) for i in range(at)), pa.array(tokens, pa.int64()), p], names=[*keep, "tokens", "posterior"])
 
-    schema = docs.select(*keep).schema.add("tokens", "long").add("posterior", "array<double>")
+    schema = T.StructType([*(docs.schema[c] for c in keep), T.StructField("tokens", T.LongType()), T.StructField("posterior", T.ArrayType(T.DoubleType()))])
     return docs.select(*keep, F.col("text").cast("string").alias("_text")).mapInArrow(work, schema)
 
 
@@ -159,7 +204,7 @@ def rates(docs: DataFrame, labels: DataFrame, keep: list[str], target: dict[str,
             r = replayed(_matrix(batch.column(at + 1)), history) if len(batch) else np.zeros(0)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(r, pa.float64())], names=[*keep, "tokens", "posterior", "rate"])
 
-    return found.mapInArrow(apply, found.schema.add("rate", "double"))
+    return found.mapInArrow(apply, T.StructType([*found.schema.fields, T.StructField("rate", T.DoubleType())]))
 
 
 def mixed(docs: DataFrame, labels: DataFrame, target: dict[str, float] = TARGET) -> DataFrame:
