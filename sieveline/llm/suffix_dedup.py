@@ -260,9 +260,8 @@ def second_half(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from pa.Table.from_pylist(rows, schema=OUT).to_batches()
 
 
-def repeated_spans(docs: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and spans (flat starts and ends, in bytes) of each document."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+def _judged_contexts(docs: DataFrame) -> DataFrame:
+    """Documents with their covered contexts and, where some are open, their text and those; written to the shared folder."""
     found = docs.mapInArrow(anchors_of, "k long, ch long, doc_id long, place long")
     by = Window.partitionBy("k")
     earlier = by.orderBy("ch", "doc_id", "place")
@@ -270,9 +269,18 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     covered = (F.col("place").bitwiseAND(F.lit(1)) == 1) | F.coalesce(F.col("was") == F.col("ch"), F.lit(False))
     open_ = ~covered & (F.col("was").isNotNull() | (F.col("most") != F.col("ch")))
     kept = found.where(covered | open_).select("doc_id", F.struct("k", F.col("place").bitwiseAND(F.lit(-2)).bitwiseOR(open_.cast("long")).alias("place")).alias("m"))
-    marks = kept.groupBy("doc_id").agg(F.collect_list("m").alias("marks"))
+    # Written apart, so that the anchors' shuffle can go before texts are shuffled.
+    marks = C.materialize(kept.groupBy("doc_id").agg(F.collect_list("m").alias("marks")), "suffix_marks")
+    del found, kept
+    C.free_shuffles(docs.sparkSession)
     half = docs.join(marks, "doc_id", "left").select("doc_id", "text", "marks")
-    half = C.materialize(half.mapInArrow(first_half, FOUND + ", text binary, blocks array<struct<k:long,s:long,ctx:binary>>"), "suffix_half")
+    return C.materialize(half.mapInArrow(first_half, FOUND + ", text binary, blocks array<struct<k:long,s:long,ctx:binary>>"), "suffix_half")
+
+
+def repeated_spans(docs: DataFrame) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and spans (flat starts and ends, in bytes) of each document."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    half = _judged_contexts(docs)
     C.free_shuffles(docs.sparkSession)
     blocks = half.where(F.col("blocks").isNotNull()).select("doc_id", F.explode("blocks").alias("b")).select("b.k", "doc_id", "b.s", "b.ctx")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
