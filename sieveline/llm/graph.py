@@ -37,7 +37,6 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     Nulls and loops are dropped; an empty table gives an empty result. Each round is two partial minima and two
     joins against them, written to the shared folder; no node's neighbours are gathered into one row.
     """
-    spark = edges.sparkSession
     now = C.materialize(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
     mark = _mark(now)
     for _ in range(most_rounds):
@@ -58,5 +57,4 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
             break
     else:
         raise RuntimeError(f"no fixed point in {most_rounds} rounds")
-    C.free_shuffles(spark)
     return now.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct())

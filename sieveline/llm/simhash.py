@@ -120,9 +120,8 @@ def linked(distinct: DataFrame) -> DataFrame:
     spread = distinct.select("fp").repartition(parts)
     out = C.new_path(spark, "links")
     for part in range(PASSES):
-        # No name for the frame: its shuffle goes before the next pass.
-        spread.mapInArrow(variants(part, buckets), "bucket int, v binary, m binary").groupBy("bucket").applyInArrow(links, "a long, b long").write.mode("append").parquet(out)
-        C.free_shuffles(spark)
+        dealt = spread.mapInArrow(variants(part, buckets), "bucket int, v binary, m binary")
+        C.write(dealt.groupBy("bucket").applyInArrow(links, "a long, b long"), out, "append")
     return spark.read.schema("a long, b long").parquet(out)
 
 

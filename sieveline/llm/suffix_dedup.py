@@ -271,8 +271,6 @@ def _judged_contexts(docs: DataFrame) -> DataFrame:
     kept = found.where(covered | open_).select("doc_id", F.struct("k", F.col("place").bitwiseAND(F.lit(-2)).bitwiseOR(open_.cast("long")).alias("place")).alias("m"))
     # Written apart, so that the anchors' shuffle can go before texts are shuffled.
     marks = C.materialize(kept.groupBy("doc_id").agg(F.collect_list("m").alias("marks")), "suffix_marks")
-    del found, kept
-    C.free_shuffles(docs.sparkSession)
     half = docs.join(marks, "doc_id", "left").select("doc_id", "text", "marks")
     return C.materialize(half.mapInArrow(first_half, FOUND + ", text binary, blocks array<struct<k:long,s:long,ctx:binary>>"), "suffix_half")
 
@@ -281,7 +279,6 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and spans (flat starts and ends, in bytes) of each document."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     half = _judged_contexts(docs)
-    C.free_shuffles(docs.sparkSession)
     blocks = half.where(F.col("blocks").isNotNull()).select("doc_id", F.explode("blocks").alias("b")).select("b.k", "doc_id", "b.s", "b.ctx")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     more = blocks.repartition(parts, "k").sortWithinPartitions("k").mapInArrow(sorted_blocks, "doc_id long, s long, e long")
