@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -30,17 +31,22 @@ def new_path(spark: SparkSession, name: str) -> str:
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def write(df: DataFrame, path: str, mode: str = "error") -> None:
-    """Write Parquet and drop the shuffle files that this took; the files written are all that is needed from then on."""
-    spark = df.sparkSession
+@contextmanager
+def cleaned(spark: SparkSession) -> Iterator[None]:
+    """Executions in here drop the shuffle files they took; the files they write are all that is needed from then on."""
     before = spark.conf.get(CLEANUP)
     spark.conf.set(CLEANUP, "true")
     try:
-        df.write.mode(mode).parquet(path)
+        yield
     finally:
         spark.conf.set(CLEANUP, before)
 
 
+def write(df: DataFrame, path: str, mode: str = "error") -> None:
+    with cleaned(df.sparkSession):
+        df.write.mode(mode).parquet(path)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write to the shared folder and read back: cuts lineage, survives lost executors."""
     spark = df.sparkSession

@@ -87,7 +87,8 @@ def records(pages: DataFrame) -> DataFrame:
 
 
 def write(pages: DataFrame, path: str) -> None:
-    records(pages).write.option("lineSep", EOL * 2).option("maxRecordsPerFile", PER_FILE).text(path)
+    with C.cleaned(pages.sparkSession):
+        records(pages).write.option("lineSep", EOL * 2).option("maxRecordsPerFile", PER_FILE).text(path)
 
 
 def parsed(data: bytes) -> Iterator[dict]:
