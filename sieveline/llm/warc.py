@@ -1,6 +1,6 @@
 """Op 7: WARC archives with revisits and segments, written by Spark and reassembled.
 
-`write` puts one logical record for each page into archive files: a response whose block is an HTTP message with
+`write` puts one logical record for each page into gzipped archive files: a response whose block is an HTTP message with
 chunked transfer coding, or a revisit (of the page with the largest id among equal payloads of at least LEAST bytes).
 Blocks of more than SEGMENT characters are cut: the first part carries segment number 1, the others are continuation
 records with the origin's identifier, and the last one the total length. `read` takes archive files of at most
@@ -12,6 +12,7 @@ Null html is an empty payload; repeated rows and page ids are told apart by row.
 
 from __future__ import annotations
 
+import gzip
 import hashlib
 from collections.abc import Iterable, Iterator
 
@@ -88,7 +89,7 @@ def records(pages: DataFrame) -> DataFrame:
 
 def write(pages: DataFrame, path: str) -> None:
     with C.cleaned(pages.sparkSession):
-        records(pages).write.option("lineSep", EOL * 2).option("maxRecordsPerFile", PER_FILE).text(path)
+        records(pages).write.option("lineSep", EOL * 2).option("maxRecordsPerFile", PER_FILE).option("compression", "gzip").text(path)
 
 
 def parsed(data: bytes) -> Iterator[dict]:
@@ -117,7 +118,8 @@ def _parse(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for data in batch.column(0):
             rows = []
-            for r in parsed(data.as_py()):
+            raw = data.as_py()
+            for r in parsed(gzip.decompress(raw) if raw[:2] == b"\x1f\x8b" else raw):
                 rows.append(r)
                 if len(rows) >= 500:
                     yield from pa.Table.from_pylist(rows, schema=SEGMENTS).to_batches()
@@ -172,7 +174,7 @@ def _decode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def read(spark: SparkSession, path: str) -> DataFrame:
     """rid, type, refers, digest, payload (null for revisits), error of every logical record under `path`."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.txt").load(path)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.txt*").load(path)
     segments = files.select("content").mapInArrow(_parse, "type string, rid string, digest string, refers string, number long, total long, block binary")
     part = F.struct(F.coalesce("number", F.lit(1)).cast("long").alias("number"), "total", "block")
     one = segments.where("number IS NULL").select("rid", "type", "refers", "digest", F.lit(False).alias("cut"), F.array(part).alias("parts"))
