@@ -257,12 +257,12 @@ def tree_paths(t: Tables) -> DataFrame:
         SELECT id, path, depth FROM w""")
 
 
-@query("""WITH k AS (SELECT p_brand AS full_key, CAST(p_size AS VARCHAR) AS part_key, p_partkey FROM part WHERE p_partkey % 40 = 0),
+@query("""WITH k AS (SELECT p_brand AS full_key, CAST(p_size AS VARCHAR) AS part_key, p_partkey FROM part WHERE p_type LIKE 'PROMO%' AND p_retailprice > 1500),
 a AS (SELECT full_key, part_key, max(p_partkey) AS m FROM k GROUP BY 1, 2), u AS (SELECT part_key, max(p_partkey) AS m FROM k GROUP BY 1 HAVING count(*) = 1)
 SELECT p.p_partkey, coalesce(a.m, u.m) AS matched, CASE WHEN a.m IS NOT NULL THEN 'exact' WHEN u.m IS NOT NULL THEN 'unambiguous' END AS method FROM part p LEFT JOIN a ON a.full_key = p.p_brand AND a.part_key = CAST(p.p_size AS VARCHAR) LEFT JOIN u ON u.part_key = CAST(p.p_size AS VARCHAR)""")
 def cascade_match(t: Tables) -> DataFrame:
     """The whole key first, then a part of it where that is unambiguous; which one matched."""
-    known = t.part.where("p_partkey % 40 = 0")
+    known = t.part.where("p_type LIKE 'PROMO%' AND p_retailprice > 1500")
     exact = known.groupBy("p_brand", "p_size").agg(F.max("p_partkey").alias("a"))
     loose = known.groupBy("p_size").agg(F.max("p_partkey").alias("u"), F.count(F.lit(1)).alias("n")).where("n = 1").drop("n")
     rows = t.part.select("p_partkey", "p_brand", "p_size").join(exact, ["p_brand", "p_size"], "left").join(loose, "p_size", "left")
@@ -327,11 +327,11 @@ def support_votes_home(t: Tables) -> DataFrame:
     return rows.groupBy("doc_id").agg(F.max(F.struct("s", "c")).alias("m")).select("doc_id", F.col("m.c").alias("home"), F.col("m.s").alias("support"))
 
 
-@query("""WITH m AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS w, source FROM documents WHERE n_chars < 500), k AS (SELECT DISTINCT doc_id, source, w FROM m WHERE length(w) >= 6)
+@query("""WITH m AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS w, source FROM documents), k AS (SELECT DISTINCT doc_id, source, w FROM m WHERE length(w) >= 6)
 SELECT source, w, n FROM (SELECT source, w, count(*) AS n, row_number() OVER (PARTITION BY source ORDER BY count(*) DESC, w) AS r FROM k GROUP BY 1, 2) WHERE r <= 3""")
 def phrase_support(t: Tables) -> DataFrame:
     """The words most members of a group have."""
-    pairs = t.documents.where("n_chars < 500").select("doc_id", "source", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0)))).alias("w")).where(F.length("w") >= 6).dropDuplicates(["doc_id", "source", "w"])
+    pairs = t.documents.select("doc_id", "source", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0)))).alias("w")).where(F.length("w") >= 6).dropDuplicates(["doc_id", "source", "w"])
     counts = pairs.groupBy("source", "w").agg(F.count(F.lit(1)).alias("n"))
     return counts.withColumn("r", F.row_number().over(Window.partitionBy("source").orderBy(F.desc("n"), "w"))).where("r <= 3").drop("r")
 
