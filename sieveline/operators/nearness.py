@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -56,3 +58,49 @@ def z_scores(rows: DataFrame, names: list[str], over: list[str]) -> DataFrame:
     """Columns z_<name>: deviation in population standard deviations across the rows of a group."""
     w = Window.partitionBy(*over) if over else Window.partitionBy(F.lit(1))
     return rows.withColumns({f"z_{n}": (F.col(n) - F.avg(n).over(w)) / (F.stddev_pop(n).over(w) + 1e-9) for n in names})
+
+
+#: Numbers of the curated set that one task may hold at once (256 MB of doubles).
+SET_NUMBERS = 1 << 25
+
+
+def nearest_to_set(items: DataFrame, chosen: DataFrame, vector: str, key: str) -> DataFrame:
+    """(key, nearest): the largest cosine to another row of a chosen set, exact, by matrix products in blocks.
+
+    The set travels in blocks of rows whose size is checked: as many passes as blocks, joined by a maximum. Rows
+    without a vector take no part; an item alone with itself has no nearest and is left out.
+    """
+    spark = items.sparkSession
+    length = V.norm(F.col(vector))
+    able = chosen.where(F.col(vector).isNotNull() & (length > 0)).select(F.col(key).cast("long").alias("_k"), F.col(vector).cast("array<double>").alias("_v"))
+    size = able.agg(F.count(F.lit(1)), F.max(F.size("_v"))).first()
+    blocks = max(1, -(-size[0] * (size[1] or 1) // SET_NUMBERS))
+    rows = items.where(F.col(vector).isNotNull() & (length > 0)).select(F.col(key).cast("long").alias(key), F.col(vector).cast("array<double>").alias("_v"))
+    out = None
+    for b in range(blocks):
+        part = able.where(F.pmod(F.xxhash64("_k"), F.lit(blocks)) == b).toPandas()  # about SET_NUMBERS numbers
+        if not len(part):
+            continue
+        there = np.stack(part["_v"].to_numpy())
+        sent = spark.sparkContext.broadcast((part["_k"].to_numpy(), there / np.linalg.norm(there, axis=1, keepdims=True)))
+
+        def work(batches, sent=sent):
+            ids, there = sent.value
+            for batch in batches:
+                for lo in range(0, batch.num_rows, 1024):
+                    one = batch.slice(lo, 1024)
+                    own = one.column(0).to_numpy()
+                    v = one.column(1).flatten().to_numpy().reshape(len(own), -1)
+                    near = np.full(len(own), -np.inf)
+                    for at in range(0, len(ids), 4096):
+                        score = (v / np.linalg.norm(v, axis=1, keepdims=True)) @ there[at : at + 4096].T
+                        score[own[:, None] == ids[None, at : at + 4096]] = -np.inf
+                        near = np.maximum(near, score.max(axis=1))
+                    yield pa.RecordBatch.from_arrays([one.column(0), pa.array(near)], names=[key, "nearest"])
+
+        found = rows.mapInArrow(work, f"{key} long, nearest double")
+        out = found if out is None else out.unionByName(found)
+    if out is None:
+        return rows.select(key, F.lit(0.0).alias("nearest")).where(F.lit(False))
+    out = out.where(F.col("nearest") > F.lit(float("-inf")))
+    return out if blocks == 1 else out.groupBy(key).agg(F.max("nearest").alias("nearest"))

@@ -11,6 +11,7 @@ from ..operators import copies as C
 from ..operators import diffs as D
 from ..operators import nearness as R
 from ..operators import selection as S
+from ..operators.written import written
 from ..streaming import sessions
 from .registry import Tables, query
 
@@ -222,7 +223,7 @@ def near_dup_pairs(t: Tables) -> DataFrame:
 def near_dup_keepers(t: Tables) -> DataFrame:
     """Greedy pruning by rank; a loop in order, which SQL does not express."""
     pairs = R.close_pairs(t.embeddings, "embedding", "vec_id", "label", 0.25).select("a", "b")
-    return C.pruned(t.embeddings.select("vec_id"), pairs, "vec_id", "vec_id", lambda df: df.checkpoint() if t.spark.conf.get("spark.checkpoint.dir", None) else df.cache())
+    return C.pruned(t.embeddings.select("vec_id"), pairs, "vec_id", "vec_id", lambda df: written(df, "pruning"))
 
 
 @query(f"""SELECT a, b, CAST(r AS INTEGER) AS place, round(s, 6) AS score FROM (SELECT a.vec_id AS a, b.vec_id AS b, {LIST_DOT} AS s, row_number() OVER (PARTITION BY a.vec_id ORDER BY {LIST_DOT} DESC, b.vec_id) AS r FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0) WHERE r <= 3""")
