@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import features as X
+from ..functions import vectors as V
+from ..operators import clusters as K
 from ..operators import graph as G
 from ..operators import nearness as R
 from ..operators import placing as P
@@ -240,3 +242,33 @@ def copy_components(t: Tables) -> DataFrame:
     links = t.part.where("p_size <= 20").crossJoin(F.broadcast(whole)).select(F.col("p_partkey").alias("a"), ((F.col("p_partkey") * 7 + F.col("p_size")) % F.col("n")).alias("b"))  # one row
     found = G.components(t.part.select("p_partkey"), links, "p_partkey")
     return found
+
+
+@query("""WITH p AS (SELECT label, unnest(embedding::DOUBLE[]) AS x, unnest(range(64)) AS i FROM embeddings), m AS (SELECT label, i, avg(x) AS x FROM p GROUP BY 1, 2), c AS (SELECT label, list(x ORDER BY i) AS v FROM m GROUP BY 1),
+d AS (SELECT e.vec_id, e.label, sqrt(list_sum(list_transform(list_zip(e.embedding::DOUBLE[], c.v), lambda z: (z[1] - z[2]) * (z[1] - z[2])))) AS d, coalesce(l.quality, 0) AS q, coalesce(l.toxic, 1) AS t FROM embeddings e JOIN c ON c.label = e.label LEFT JOIN (SELECT doc_id, max(quality) AS quality, max(toxic) AS toxic FROM labels GROUP BY doc_id) l ON l.doc_id = e.vec_id)
+SELECT vec_id, label, CAST(r AS INTEGER) AS place FROM (SELECT vec_id, label, row_number() OVER (PARTITION BY label ORDER BY round(d - 0.06 * q - CASE WHEN t = 0 THEN 0.10 ELSE 0.0 END, 9), vec_id) AS r FROM d) WHERE r <= 5""")
+def medoid_pick(t: Tables) -> DataFrame:
+    """The five items of each group that stand for it."""
+    parts = t.embeddings.select("label", F.posexplode("embedding").alias("i", "x")).groupBy("label", "i").agg(F.avg(F.col("x").cast("double")).alias("m"))
+    middle = parts.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda z: z["m"]).alias("c"))  # 64 numbers a group
+    said = t.labels.groupBy(F.col("doc_id").alias("vec_id")).agg(F.max("quality").alias("q"), F.max("toxic").alias("x"))
+    rows = t.embeddings.join(middle, "label").join(said, "vec_id", "left")
+    away = V.norm(F.zip_with("embedding", "c", lambda a, b: a.cast("double") - b))
+    cost = F.round(K.medoid_order(away, F.lit(1), F.coalesce("q", F.lit(0)), F.coalesce("x", F.lit(1)) == 0), 9)
+    return K.picked(rows, "label", "vec_id", cost, F.lit(False), 5).select("vec_id", "label", "place")
+
+
+@query()
+def kmeans_families(t: Tables) -> DataFrame:
+    """Families of all vectors; an iteration, which SQL does not express."""
+    n = t.embeddings.count()
+    centres = K.kmeans(t.embeddings, "embedding", "vec_id", K.families_wanted(n, 800, 8, 30), rounds=10)
+    return K.assigned(t.embeddings, "embedding", "vec_id", centres, K.merged_centres(centres))
+
+
+@query()
+def sound_model(t: Tables) -> DataFrame:
+    """A softmax model of the groups' vectors, learned on four fifths of the rows and applied to all."""
+    top = t.embeddings.agg(F.max("label")).first()[0]
+    model = K.train(t.embeddings, "embedding", "label", (top or 0) + 1, F.pmod(F.xxhash64("vec_id"), F.lit(5)) == 0, rounds=15)
+    return K.classified(t.embeddings, "embedding", "vec_id", model)
