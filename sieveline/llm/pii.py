@@ -6,13 +6,13 @@ Their strings are the protected entities. The corpus then says how strongly othe
 
     IC(e) = log2(N / n(e)),   PMI(t; e) = log2(N * n(t, e) / (n(t) * n(e)))
 
-where n counts documents. A term with PMI >= DISCLOSES * IC(e), seen near e in SUPPORT different texts at least,
-tells the entity almost as well as naming it; it becomes a span of kind `term` wherever it stands near e.
+where n counts documents. A term with PMI >= DISCLOSES * IC(e) tells the entity almost as well as naming it, also
+where both stand in one text only; it becomes a span of kind `term` wherever it stands near e.
 `sanitize` generalises base spans to their kind and removes terms.
 
 Only SQL functions. Positions come from the lengths of what lies between matches, in code points. Null text is empty;
 null ids and repeated rows are judged by (id, text); an empty table gives an empty result. Copies of a text count as
-documents, but as one text for SUPPORT. Term statistics are partial counts over all documents; they are restricted to
+documents. Term statistics are partial counts over all documents; they are restricted to
 candidate terms by a join, which is a broadcast only below SMALL terms.
 """
 
@@ -35,7 +35,7 @@ PATTERNS = {
 }
 HINTS = {"email": "@", "ip": ".", "phone": "+"}
 TERM = r"[\p{L}][\p{L}\p{N}]{2,}"
-NEAR, DISCLOSES, SUPPORT, SMALL = 80, 0.9, 2, 200_000
+NEAR, DISCLOSES, SMALL = 80, 0.9, 200_000
 
 
 def spans_of(text: Column, pattern: str) -> Column:
@@ -114,9 +114,9 @@ def _mentions(found: DataFrame) -> DataFrame:
 
 def _revealing(docs: DataFrame, mentions: DataFrame, documents: int) -> DataFrame:
     """(entity, term) pairs whose co-occurrence discloses the entity."""
-    seen = mentions.groupBy("entity", "term").agg(F.countDistinct("id", "th").alias("docs"), F.countDistinct("th").alias("texts"))
+    seen = mentions.groupBy("entity", "term").agg(F.countDistinct("id", "th").alias("docs"))
     # n(t, e) counts documents: rows of documents are told apart by id and text
-    pairs = C.materialize(seen.where(F.col("texts") >= SUPPORT), "pairs")
+    pairs = C.materialize(seen, "pairs")
     terms = pairs.select(F.col("term").alias("w")).distinct()
     if pairs.limit(SMALL + 1).count() <= SMALL:
         terms = F.broadcast(terms)

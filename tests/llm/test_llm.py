@@ -174,6 +174,13 @@ def test_revealing_terms_are_removed(spark):
     assert pii.sanitize(df.limit(0)).count() == 0
 
 
+def test_terms_of_entities_in_one_text_are_removed(spark):
+    rows = [(0, "note from zorbex about the bob@mail.org matter again")] + [(9 + i, f"the matter from note about again {i}") for i in range(60)]
+    clean = {r.doc_id: r.text for r in pii.sanitize(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert "zorbex" not in clean[0] and "[EMAIL]" in clean[0] and "matter" in clean[0]
+    assert clean[9] == rows[1][1]
+
+
 def test_archives_round_trip(spark):
     big = "".join(f"<p>{i} é</p>\r\n\r\nWARC/1.1\r\n" for i in range(3000))
     pages = [(1, "u", "small"), (2, "u\r\nx: y", big), (3, None, big), (4, "u", None), (5, "u", ""), (6, "u", "small"), (7, "u", "y" * 1000), (8, "u", "y" * 1000), (9, "u", "y" * 999), (10, "u", "y" * 999)]
