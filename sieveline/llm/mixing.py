@@ -1,14 +1,16 @@
 """Op 2: mixing documents to target weights over soft domains.
 
 A softmax classifier over the presence of chosen terms, learned on the labelled table, gives each document a posterior p over domains (quality x toxic).
-With n tokens in a document and T in all, the rates r >= 0 minimise
+With n tokens in a document and T in all, the rates r >= 0 minimise, for a small e,
 
-    || sum_d r_d n_d p_d / T - b ||^2
+    || sum_d r_d n_d p_d / T - b ||^2 / 2e  +  sum_d n_d (r_d - 1)^2 / 2T
 
-by projected gradient from r = 1, where b are the target token shares. Distances are measured per token, so that the
-step of a document is p . g and does not grow with its length; the step size is one over the greatest eigenvalue of
-sum n p p' / T. Only the history of gradients (domains x rounds numbers) travels: each round is one distributed pass
-over (tokens, posterior) that replays it and returns the sums. Rounds end at TOLERANCE or after ROUNDS.
+where b are the target token shares: of all rates that meet the targets, those nearest to 1. The optimum is
+r = max(0, 1 - p . m) for one number m a domain, found by Newton steps on the dual, which hold rare domains as strictly
+as large ones. Only m travels: a round is one distributed pass over (tokens, posterior) that tries TRIES step lengths.
+Each e is solved to its optimum, and e falls until every share is within TOLERANCE of its target or until the gap
+falls no further: then no rates meet the targets, and a warning names the gap that is left. ROUNDS without an optimum
+are an error.
 
 The classifier sees at most SAMPLE labelled rows (the least hashes of doc_id) of at most MOST_BYTES bytes; posteriors
 and totals cover every row and whole texts. Null text is empty: no tokens, and a posterior of the classifier's bias. Without
@@ -17,6 +19,7 @@ labelled rows, or with one domain only, all rates are 1 times the target of that
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -28,7 +31,9 @@ from pyspark.sql import types as T
 from . import common as C
 from .common import U64
 
-SAMPLE, MOST_BYTES, FEATURES, ROUNDS, TOLERANCE, CHUNK = 6000, 20_000, 2048, 60, 1e-3, 1 << 20
+SAMPLE, MOST_BYTES, FEATURES, ROUNDS, TOLERANCE, CHUNK = 6000, 20_000, 2048, 200, 1e-3, 1 << 20
+#: Step lengths tried in one pass; the penalties e, and how near to the optimum of each Newton goes.
+TRIES, PENALTIES, SETTLED = 0.5 ** np.arange(12), 10.0 ** -np.arange(1, 10), 1e-5
 #: Target shares of all tokens: good and clean text is raised, the others are lowered.
 DOMAINS = ("q0t0", "q0t1", "q1t0", "q1t1")
 TARGET = {"q0t0": 0.10, "q0t1": 0.0, "q1t0": 0.87, "q1t1": 0.03}
@@ -151,57 +156,79 @@ def posteriors(docs: DataFrame, model: Classifier | None, keep: list[str]) -> Da
     return docs.select(*keep, F.col("text").cast("string").alias("_text")).mapInArrow(work, schema)
 
 
-def replayed(p: np.ndarray, history: np.ndarray) -> np.ndarray:
-    """Rates after the projected steps p . g for each g of the history."""
-    r = np.ones(len(p))
-    for g in history:
-        r = np.maximum(0, r - p @ g)
-    return r
+def rate(p: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """Rates of posteriors under the dual numbers m."""
+    return np.maximum(0, 1 - p @ m)
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
 
 
-def solve(found: DataFrame, target: dict[str, float]) -> np.ndarray:
-    """The history of steps over (tokens, posterior) rows."""
+def solve(found: DataFrame, target: dict[str, float]) -> tuple[np.ndarray, np.ndarray]:
+    """(m, token shares less targets) over (tokens, posterior) rows."""
     k = len(DOMAINS)
     b = np.array([target[d] for d in DOMAINS])
     total = found.agg(F.sum("tokens")).first()[0] or 0
     if not total:
-        return np.zeros((0, k))
-    pairs = [F.sum(F.col("tokens") * F.col("posterior")[i] * F.col("posterior")[j]) for i in range(k) for j in range(k)]
-    second = np.array(found.agg(*pairs).first(), float).reshape(k, k) / total
-    step = 1 / np.linalg.eigvalsh(second).max()
-    history: list[np.ndarray] = []
-    for _ in range(ROUNDS):
-        now = np.array(history).reshape(-1, k)
-
-        def sums(batches: Iterable[pa.RecordBatch], now=now) -> Iterator[pa.RecordBatch]:
-            out = np.zeros(k)
+        return np.zeros(k), np.zeros(k)
+    width = k + k * k + 1
+
+    def tried(points: np.ndarray) -> np.ndarray:
+        """For each m of points: sum w r p, sum w p p' where r > 0, and sum w r^2, with w = n / T."""
+
+        def sums(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            out = np.zeros((len(points), width))
             for batch in batches:
-                p = _matrix(batch.column(1))
-                out += (replayed(p, now) * batch.column(0).to_numpy()) @ p if len(p) else 0
-            yield pa.RecordBatch.from_arrays([pa.array([x]) for x in out], names=[f"s{i}" for i in range(k)])
-
-        parts = found.select("tokens", "posterior").mapInArrow(sums, ", ".join(f"s{i} double" for i in range(k)))
-        got = np.array(parts.agg(*(F.sum(f"s{i}") for i in range(k))).first(), float) / total
-        gap = got - b
-        if np.abs(gap).max() < TOLERANCE:
+                if len(batch):
+                    p, w = _matrix(batch.column(1)), batch.column(0).to_numpy() / total
+                    for i, m in enumerate(points):
+                        r = rate(p, m)
+                        out[i] += np.concatenate(((w * r) @ p, ((w * (r > 0))[:, None] * p).T @ p, [(w * r) @ r]), axis=None)
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(out.size)), pa.array(out.ravel())], names=["i", "x"])
+
+        parts = found.select("tokens", "posterior").mapInArrow(sums, "i long, x double").groupBy("i").agg(F.sum("x")).collect()
+        out = np.zeros(len(points) * width)
+        for i, x in parts:
+            out[i] = x
+        return out.reshape(len(points), width)
+
+    m, last, rounds = np.zeros(k), np.inf, 0
+    now = tried(m[None])[0]
+    for e in PENALTIES:
+        while True:
+            gap = now[:k] - b
+            slope = e * m - gap
+            if np.abs(slope).max() < SETTLED:
+                break
+            if (rounds := rounds + 1) > ROUNDS:
+                raise RuntimeError(f"no optimum in {ROUNDS} rounds; shares less targets: {gap}")
+            step = np.linalg.solve(now[k:-1].reshape(k, k) + e * np.eye(k), slope)
+            points = m - TRIES[:, None] * step
+            got = tried(points)
+            height = e / 2 * (points**2).sum(axis=1) + got[:, -1] / 2 + points @ b
+            best = int(height.argmin())
+            if height[best] >= e / 2 * m @ m + now[-1] / 2 + m @ b:
+                break  # as low as floating point tells
+            m, now = points[best], got[best]
+        most = np.abs(now[:k] - b).max()
+        if most <= TOLERANCE or most > 0.99 * last:
             break
-        history.append(step * gap)
-    return np.array(history).reshape(-1, k)
+        last = most
+    return m, now[:k] - b
 
 
 def rates(docs: DataFrame, labels: DataFrame, keep: list[str], target: dict[str, float] = TARGET) -> DataFrame:
     """The columns `keep` with tokens, posterior and rate."""
     found = C.materialize(posteriors(docs, learn(docs, labels), keep), "posteriors")
-    history = solve(found, target)
+    m, gap = solve(found, target)
+    if np.abs(gap).max() > TOLERANCE:
+        warnings.warn(f"no rates meet the targets; token shares less targets: {dict(zip(DOMAINS, gap.round(5).tolist(), strict=True))}", stacklevel=2)
     at = len(keep)
 
     def apply(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            r = replayed(_matrix(batch.column(at + 1)), history) if len(batch) else np.zeros(0)
+            r = rate(_matrix(batch.column(at + 1)), m) if len(batch) else np.zeros(0)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(r, pa.float64())], names=[*keep, "tokens", "posterior", "rate"])
 
     return found.mapInArrow(apply, T.StructType([*found.schema.fields, T.StructField("rate", T.DoubleType())]))

@@ -249,6 +249,27 @@ def test_rates_meet_targets(spark):
     assert len(mixing.rates(docs, known.limit(0), ["doc_id"]).collect()) == len(rows)
 
 
+def test_rates_of_a_rare_domain_meet_targets(spark):
+    rng = np.random.default_rng(6)
+    kind = rng.choice(4, 4000, p=[0.21, 0.01, 0.77, 0.01])
+    p = 0.9 * np.eye(4)[kind] + 0.1 * rng.dirichlet([1, 0.05, 1, 1], 4000)
+    p[kind != 1, 1] *= 1e-3
+    p /= p.sum(axis=1, keepdims=True)
+    n = rng.integers(10, 500, 4000)
+    found = spark.createDataFrame([(int(t), x.tolist()) for t, x in zip(n, p, strict=True)], "tokens long, posterior array<double>")
+    m, gap = mixing.solve(found, mixing.TARGET)
+    shares = (n * mixing.rate(p, m)) @ p / n.sum()
+    assert np.abs(shares - gap - [mixing.TARGET[d] for d in mixing.DOMAINS]).max() < 1e-9
+    assert np.abs(gap).max() <= mixing.TOLERANCE
+
+
+def test_targets_out_of_reach_are_told(spark):
+    docs = spark.createDataFrame([(i, "word " * 9) for i in range(20)], "doc_id long, text string")
+    known = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    with pytest.warns(UserWarning, match="no rates meet the targets"):
+        assert {round(r.rate, 3) for r in mixing.rates(docs, known, ["doc_id"]).collect()} == {1.0}
+
+
 def test_pipeline_stages_keep_columns(spark, docs, tmp_path):
     import corpus_pipeline
 
