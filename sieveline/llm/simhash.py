@@ -28,10 +28,11 @@ from .graph import components, local_forest
 
 HALF, PASSES, PER_BUCKET, SLICE = 2, 8, 3_000_000, 1024
 MASKS = np.array([sum(1 << i for i in c) for n in range(HALF + 1) for c in combinations(range(64), n)], U64)
+WORDS = 4
 MULTIPLIER = U64(0x9E3779B97F4A7C15)
 
 
-def fingerprint(text: bytes, words: int = 4) -> int:
+def fingerprint(text: bytes, words: int = WORDS) -> int:
     """Majority bits over the XXH64 (seed 42) of all runs of `words` lower-cased words, repeats included."""
     parts = text.lower().split()
     if not parts:
@@ -49,16 +50,16 @@ def fingerprint(text: bytes, words: int = 4) -> int:
     return int(np.packbits(2 * bits.sum(axis=0, dtype=np.int64) > len(hashes), bitorder="little").view(U64)[0])
 
 
-def _fingerprints(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        text, off = C.strings(batch.column(1))
-        found = [fingerprint(text[off[i] : off[i + 1]].tobytes()) for i in range(len(off) - 1)] if len(batch) else []
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(found, U64).view(np.int64))], names=["doc_id", "fp"])
+def fingerprints(docs: DataFrame, words: int = WORDS) -> DataFrame:
+    """doc_id, fp: the 64 bits as a signed long."""
 
+    def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            text, off = C.strings(batch.column(1))
+            found = [fingerprint(text[off[i] : off[i + 1]].tobytes(), words) for i in range(len(off) - 1)] if len(batch) else []
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(found, U64).view(np.int64))], names=["doc_id", "fp"])
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id, fp: the 64 bits as a signed long."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_fingerprints, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(work, "doc_id long, fp long")
 
 
 def variants(part: int, buckets: int) -> Callable:
@@ -125,9 +126,9 @@ def linked(distinct: DataFrame) -> DataFrame:
     return spark.read.schema("a long, b long").parquet(out)
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """doc_id, fp, component_id of every row."""
-    found = C.materialize(fingerprints(docs), "fingerprints")
+    found = C.materialize(fingerprints(docs, words), "fingerprints")
     distinct = C.materialize(found.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
     label = components(linked(distinct))
     of = distinct.join(label, distinct["fp"] == label["node"], "left").select("fp", "least", F.coalesce("label", "fp").alias("label"))

@@ -10,7 +10,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from sieveline.llm import chat, common, exact_digest, graph, langid, mixing, multi_index, packing, pii, simhash, suffix_dedup, warc
+from sieveline.llm import chat, common, exact_digest, graph, langid, mixing, multi_index, packing, pii, shingles, simhash, suffix_dedup, warc
 
 EDGE = [None, "", " ", "x", "é" * 40, "long " * 4000, "same text of some length, " * 6, "same text of some length, " * 6, "\t\n", "😀 á b"]
 
@@ -270,6 +270,39 @@ def test_targets_out_of_reach_are_told(spark):
         assert {round(r.rate, 3) for r in mixing.rates(docs, known, ["doc_id"]).collect()} == {1.0}
 
 
+def near_pairs(seed, pairs=120):
+    """(doc_id, text) of pairs 2i, 2i + 1 with replaced words, and the 5-word similarity of each pair."""
+    rng, rows, like = random.Random(seed), [], []
+    runs = lambda t: {tuple(t[i : i + 5]) for i in range(len(t) - 4)}
+    for i in range(pairs):
+        a = [f"w{rng.randrange(10**6)}" for _ in range(rng.randint(100, 600))]
+        b = list(a)
+        for j in rng.sample(range(len(a)), max(1, int(len(a) * rng.uniform(0.004, 0.05)))):
+            b[j] = f"v{rng.randrange(10**6)}"
+        rows += [(2 * i, " ".join(a)), (2 * i + 1, "  ".join(b).upper())]
+        like.append(len(runs(a) & runs(b)) / len(runs(a) | runs(b)))
+    return rows, like
+
+
+def test_stage_catches_near_copies_from_similarity_080(spark):
+    import corpus_pipeline
+
+    rows, like = near_pairs(8)
+    rows += [(900 + i, t) for i, t in enumerate(["few words", "", None])]
+    left = {r.doc_id for r in corpus_pipeline.near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()}
+    assert {2 * i for i in range(len(like))} <= left and 900 in left
+    assert sum(0.8 <= x < 0.95 for x in like) > 20 and sum(x < 0.75 for x in like) > 20
+    assert not [x for i, x in enumerate(like) if x >= 0.8 and 2 * i + 1 in left]
+    assert not [x for i, x in enumerate(like) if x < 0.7 and 2 * i + 1 not in left]
+
+
+def test_near_copies_equal_all_pairs(spark):
+    rows, like = near_pairs(9)
+    found = {(r.doc_id, r.of) for r in shingles.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found == {(2 * i + 1, 2 * i) for i, x in enumerate(like) if x >= 0.8}
+    assert shingles.near_copies(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
 def test_pipeline_stages_keep_columns(spark, docs, tmp_path):
     import corpus_pipeline
 
