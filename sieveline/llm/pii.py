@@ -2,25 +2,27 @@
 
 Base spans: e-mail addresses, IP addresses, card numbers and phone numbers, leftmost and non-overlapping per kind.
 Their strings are the protected entities. The corpus then says how strongly other terms reveal them: for a term t
-(a word near an entity e, within NEAR code points) and over all N documents,
+(a word outside all base spans) and an entity e, over all N documents,
 
     IC(e) = log2(N / n(e)),   PMI(t; e) = log2(N * n(t, e) / (n(t) * n(e)))
 
-where n counts documents. A term with PMI >= DISCLOSES * IC(e) tells the entity almost as well as naming it, also
-where both stand in one text only; it becomes a span of kind `term` wherever it stands near e.
-`sanitize` generalises base spans to their kind and removes terms.
+where n counts documents and n(t, e) those that hold both, wherever in the text. A term with PMI >= DISCLOSES * IC(e)
+tells the entity almost as well as naming it, also where both stand in one text only; it becomes a span of kind `term`
+at each of its occurrences in the documents that hold e. `sanitize` generalises base spans to their kind and removes
+terms.
 
 Only SQL functions. Positions come from the lengths of what lies between matches, in code points. Null text is empty;
-null ids and repeated rows are judged by (id, text); an empty table gives an empty result. Copies of a text count as
-documents. Term statistics are partial counts over all documents; they are restricted to
-candidate terms by a join, which is a broadcast only below SMALL terms.
+null ids and repeated rows are judged by (id, text), and each row counts as a document; an empty table gives an empty
+result. Term statistics are partial counts over all documents. As PMI >= DISCLOSES * IC(e) is the same as
+n(t) <= n(t, e) * (N / n(e))^(1 - DISCLOSES), terms that stand in more documents than that for each of their entities
+(all usual words) leave before pairs are joined to their counts.
 """
 
 from __future__ import annotations
 
 from functools import partial
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common as C
@@ -35,7 +37,7 @@ PATTERNS = {
 }
 HINTS = {"email": "@", "ip": ".", "phone": "+"}
 TERM = r"[\p{L}][\p{L}\p{N}]{2,}"
-NEAR, DISCLOSES, SMALL = 80, 0.9, 200_000
+DISCLOSES = 0.9
 
 
 def spans_of(text: Column, pattern: str) -> Column:
@@ -84,63 +86,87 @@ def base_spans(docs: DataFrame, text: str = "text") -> DataFrame:
     return docs
 
 
+def _every(tag) -> Column:
+    """All base spans, in order."""
+    return F.array_sort(F.concat(*(F.transform(f"spans_{k}", partial(tag, k)) for k in KINDS)))
+
+
+def outside(text: Column, every: Column) -> Column:
+    """The text with base spans blanked: the same positions, without their words."""
+
+    def step(acc: Column, x: Column) -> Column:
+        s = F.greatest(acc["at"], x["s"])
+        e = F.greatest(acc["at"], x["e"])
+        more = F.concat(acc["out"], F.substring(text, acc["at"] + 1, s - acc["at"]), F.repeat(F.lit(" "), (e - s).cast("int")))
+        return F.struct(e.alias("at"), more.alias("out"))
+
+    start = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
+    blank = F.aggregate(every, start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
+    return F.when(F.size(every) == 0, text).otherwise(blank)
+
+
+def words_of(text: Column) -> Column:
+    """The distinct terms of a text."""
+    return F.array_distinct(F.transform(F.array_distinct(F.regexp_extract_all(text, F.lit(TERM), F.lit(0))), F.lower))
+
+
 def written(kind: str, spans: Column) -> Column:
     return F.transform(spans, lambda x: F.concat(F.lit(f"{kind}:"), x["s"].cast("string"), F.lit(":"), x["e"].cast("string")))
 
 
 def _of_kind(kind: str, x: Column) -> Column:
-    return F.struct(F.lit(kind).alias("kind"), x["s"].alias("s"), x["e"].alias("e"), x["m"].alias("m"))
+    return F.struct(x["s"].alias("s"), x["e"].alias("e"), F.concat(F.lit(f"{kind}:"), F.lower(x["m"])).alias("entity"))
 
 
 def _tagged(tag: str, x: Column) -> Column:
     return F.struct(x["s"].alias("s"), x["e"].alias("e"), F.lit(tag).alias("tag"))
 
 
-def _mentions(found: DataFrame) -> DataFrame:
-    """(id, th, entity, term, s, e): words near base spans."""
-    every = F.flatten(F.array(*(F.transform(f"spans_{k}", partial(_of_kind, k)) for k in KINDS)))
-    one = found.where(F.size(every) > 0).select("id", "th", "t", F.explode(every).alias("b"))
-    # On each side the words that end or begin within NEAR code points; a word cut by the border is left out.
-    left = F.greatest(F.col("b.s") - NEAR, F.lit(0))
-    sides = F.array(
-        F.struct(left.alias("at"), F.substring(F.col("t"), left + 1, F.col("b.s") - left).alias("c")),
-        F.struct(F.col("b.e").alias("at"), F.substring(F.col("t"), F.col("b.e") + 1, F.lit(NEAR)).alias("c")),
-    )
-    side = one.select("id", "th", F.concat_ws(":", "b.kind", F.lower("b.m")).alias("entity"), F.explode(sides).alias("x"))
-    side = side.select("id", "th", "entity", "x.at", F.length("x.c").alias("n"), F.explode(spans_of(F.col("x.c"), TERM)).alias("w"))
-    side = side.where((F.col("w.s") > 0) & (F.col("w.e") < F.col("n")))
-    return side.select("id", "th", "entity", F.lower("w.m").alias("term"), (F.col("at") + F.col("w.s")).alias("s"), (F.col("at") + F.col("w.e")).alias("e"))
-
-
-def _revealing(docs: DataFrame, mentions: DataFrame, documents: int) -> DataFrame:
+def _revealing(mentions: DataFrame, n_e: DataFrame, n_t: DataFrame, documents: int) -> DataFrame:
     """(entity, term) pairs whose co-occurrence discloses the entity."""
-    seen = mentions.groupBy("entity", "term").agg(F.countDistinct("id", "th").alias("docs"))
-    # n(t, e) counts documents: rows of documents are told apart by id and text
-    pairs = C.materialize(seen, "pairs")
-    terms = pairs.select(F.col("term").alias("w")).distinct()
-    if pairs.limit(SMALL + 1).count() <= SMALL:
-        terms = F.broadcast(terms)
-    words = docs.select(F.explode(F.array_distinct(F.split(F.lower("t"), r"[^\p{L}\p{N}]+"))).alias("w"))
-    n_t = words.join(terms, "w", "left_semi").groupBy("w").agg(F.count(F.lit(1)).alias("n_t"))
-    n_e = mentions.groupBy("entity").agg(F.countDistinct("id", "th").alias("n_e"))
-    known = pairs.join(n_e, "entity").join(n_t, pairs["term"] == n_t["w"])
     n = F.lit(float(documents))
+    seen = mentions.groupBy("entity", "term").agg(F.sum("rows").alias("docs")).join(n_e, "entity")
+    pairs = C.materialize(seen.withColumn("most", F.col("docs") * F.pow(n / F.col("n_e"), F.lit(1 - DISCLOSES))), "pairs")
+    # a little more than the bound, so that rounding loses no term; the rule itself decides below
+    rare = pairs.groupBy("term").agg(F.max("most").alias("bound")).join(n_t, "term").where(F.col("n_t") <= F.col("bound") * 1.000001)
+    known = pairs.join(rare.select("term", "n_t"), "term")
     pmi = F.log2(n * F.col("docs") / (F.col("n_t") * F.col("n_e")))
     ic = F.log2(n / F.col("n_e"))
     return known.where((ic > 0) & (pmi >= DISCLOSES * ic)).select("entity", "term")
 
 
+def _places(texts: DataFrame, hits: DataFrame) -> DataFrame:
+    """id, th, terms: where the terms of hits (id, th, term) stand in texts (id, th, t)."""
+    some = hits.select(F.col("id").alias("_id"), F.col("th").alias("_th")).distinct()
+    rows = texts.join(some, F.col("id").eqNullSafe(F.col("_id")) & (F.col("th") == F.col("_th")), "left_semi")
+    found, gaps = F.regexp_extract_all("t", F.lit(TERM), F.lit(0)), F.split("t", TERM, -1)
+    pieces = F.filter(F.arrays_zip(found.alias("w"), F.transform(gaps, F.length).alias("g")), lambda x: x["w"].isNotNull())
+    rows = rows.select("id", "th", F.posexplode(pieces).alias("i", "x"))
+    rows = rows.select("id", "th", "i", F.lower("x.w").alias("word"), F.length("x.w").alias("n"), F.col("x.g").alias("g"))
+    ends = F.sum((F.col("g") + F.col("n")).cast("long")).over(Window.partitionBy("id", "th").orderBy("i"))
+    rows = rows.withColumn("e", ends).select("id", "th", "word", (F.col("e") - F.col("n")).alias("s"), "e")
+    named = hits.select(F.col("id").alias("_id"), F.col("th").alias("_th"), "term").distinct()
+    rows = rows.join(named, F.col("id").eqNullSafe(F.col("_id")) & (F.col("th") == F.col("_th")) & (F.col("word") == F.col("term")), "left_semi")
+    return rows.groupBy("id", "th").agg(F.array_sort(F.collect_set(F.struct("s", "e"))).alias("terms"))
+
+
 def disclosing_spans(docs: DataFrame) -> DataFrame:
     """docs (id, text) -> id, th, spans of terms: array<struct<s, e>>, one row for each (id, text) that has some."""
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").alias("id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("t"))
-    found = base_spans(rows.withColumn("th", F.xxhash64("t")), "t")
-    mentions = C.materialize(_mentions(found), "mentions")
-    if mentions.isEmpty():
+    found = base_spans(rows.withColumn("th", F.xxhash64("t")), "t").withColumn("every", _every(_of_kind))
+    found = found.select("id", "th", outside(F.col("t"), F.col("every")).alias("t"), F.array_distinct(F.transform("every", lambda x: x["entity"])).alias("entities"))
+    held = found.where(F.size("entities") > 0).groupBy("id", "th").agg(F.min(F.struct("t", "entities")).alias("x"), F.count(F.lit(1)).alias("rows"))
+    held = C.materialize(held.select("id", "th", "x.t", "x.entities", "rows"), "held")
+    if held.isEmpty():
         return spark.createDataFrame([], "id long, th long, terms array<struct<s:long,e:long>>")
-    pairs = _revealing(rows, mentions, rows.count())
-    hits = mentions.join(pairs, ["entity", "term"])
-    return hits.groupBy("id", "th").agg(F.array_sort(F.collect_set(F.struct("s", "e"))).alias("terms"))
+    named = held.select("id", "th", "rows", "t", F.explode("entities").alias("entity"))
+    mentions = named.select("id", "th", "rows", "entity", F.explode(words_of(F.col("t"))).alias("term"))
+    n_e = named.groupBy("entity").agg(F.sum("rows").alias("n_e"))
+    n_t = found.select(F.explode(words_of(F.col("t"))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
+    pairs = C.materialize(_revealing(mentions, n_e, n_t, rows.count()), "revealing")
+    hits = C.materialize(mentions.join(pairs, ["entity", "term"]).select("id", "th", "term").distinct(), "hits")
+    return _places(held.select("id", "th", "t"), hits)
 
 
 def spans(docs: DataFrame) -> DataFrame:

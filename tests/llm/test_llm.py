@@ -181,6 +181,20 @@ def test_terms_of_entities_in_one_text_are_removed(spark):
     assert clean[9] == rows[1][1]
 
 
+def test_terms_are_counted_and_removed_in_the_whole_document(spark):
+    far = "the matter from note about again " * 10
+    rows = [(i, f"zorbex wrote to bob@mail.org {far} and quixol, Zorbex again {i}\nquixol") for i in range(3)]
+    rows += [(None, rows[0][1])] * 2 + [(9 + i, f"{far} and wrote to zorbexes {i}") for i in range(80)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    clean = pii.sanitize(df).collect()
+    named = [r.text for r in clean if r.doc_id is None or r.doc_id < 9]
+    assert len(named) == 5 and not [t for t in named if re.search("zorbex|quixol", t, re.IGNORECASE)]
+    assert all(t.startswith(" wrote to [EMAIL] the matter") and t.endswith("\n") for t in named)
+    assert {r.doc_id: r.text for r in clean if r.doc_id == 9}[9] == rows[5][1]
+    for r in pii.spans(df).collect():
+        assert [r.text[x.s : x.e].lower() for x in r._terms] == (["zorbex", "quixol", "zorbex", "quixol"] if "bob@" in r.text else [])
+
+
 def test_archives_round_trip(spark):
     big = "".join(f"<p>{i} é</p>\r\n\r\nWARC/1.1\r\n" for i in range(3000))
     pages = [(1, "u", "small"), (2, "u\r\nx: y", big), (3, None, big), (4, "u", None), (5, "u", ""), (6, "u", "small"), (7, "u", "y" * 1000), (8, "u", "y" * 1000), (9, "u", "y" * 999), (10, "u", "y" * 999)]
