@@ -38,22 +38,25 @@ def mirrored(items: DataFrame, digest: str, is_mirror: Column) -> DataFrame:
     return items.where(is_mirror).join(items.where(~is_mirror).select(digest), digest, "left_semi")
 
 
-def pruned(nodes: DataFrame, pairs: DataFrame, key: str, rank: str, write, most_rounds: int = 50) -> DataFrame:
+def pruned(nodes: DataFrame, pairs: DataFrame, key: str, rank: str, write, most_rounds: int | None = None) -> DataFrame:
     """(key, kept, partner): greedy pruning by rank as a fixed-priority independent set.
 
     pairs (a, b): keys closer than the threshold. A node without an undecided or kept better neighbour is kept; a
     node with a kept better neighbour is dropped. That is what a loop over the ranks does, in a few rounds, each one
-    join and one aggregation. `write` materialises a round's table and returns it read again.
+    join and one aggregation; each round decides the best undecided node at least, so rounds go on until none is left,
+    and `most_rounds`, where given, raises. `write` materialises a round's table and returns it read again.
     """
     place = nodes.select(F.col(key).alias("k"), F.col(rank).alias("r"))
     edges = pairs.join(place.toDF("a", "ra"), "a").join(place.toDF("b", "rb"), "b")
     down = write(edges.select(F.when(F.col("ra") < F.col("rb"), F.col("a")).otherwise(F.col("b")).alias("better"), F.when(F.col("ra") < F.col("rb"), F.col("b")).otherwise(F.col("a")).alias("worse"), F.least("ra", "rb").alias("r")).distinct())
     state = write(place.select("k", F.lit(None).cast("boolean").alias("kept")))
-    for _ in range(most_rounds):
+    rounds, before = 0, None
+    while undecided := state.where("kept IS NULL").count():
+        if rounds == most_rounds or undecided == before:  # ranks that don't order the rows of a pair decide nothing
+            raise RuntimeError(f"{undecided} rows are undecided after {rounds} rounds")
+        rounds, before = rounds + 1, undecided
         seen = down.join(state.select(F.col("k").alias("better"), F.col("kept").alias("bk")), "better")
         told = seen.groupBy(F.col("worse").alias("k")).agg(F.max(F.coalesce("bk", F.lit(False))).alias("beaten"), F.max(F.col("bk").isNull()).alias("open"))
         state = write(state.join(told, "k", "left").select("k", F.coalesce("kept", F.when(F.col("beaten"), False).when(~F.coalesce("open", F.lit(False)), True)).alias("kept")))
-        if state.where("kept IS NULL").isEmpty():
-            break
     best = down.join(state.where("kept").select(F.col("k").alias("better")), "better").groupBy(F.col("worse").alias("k")).agg(F.min_by("better", "r").alias("partner"))
     return state.join(best, "k", "left").select(F.col("k").alias(key), "kept", F.when(~F.col("kept"), F.col("partner")).alias("partner"))

@@ -2,6 +2,8 @@
 
 import random
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from sieveline.functions import names as N
@@ -74,3 +76,13 @@ def test_tempo_folds_and_names(spark):
     ).first()
     assert (row.a, row.b, row.c, row.d) == (60.0, 100.25, 100.0, None)
     assert (row.n, row.two, row.s, row.w) == (60, None, "Cafe fin", "kick drum 01 v 2")
+
+
+def test_pruning_of_long_chains_decides_every_row(spark):
+    nodes = spark.createDataFrame([(i, i) for i in range(56)], "id long, r long").coalesce(1)
+    pairs = spark.createDataFrame([(i, i + 1) for i in range(55)], "a long, b long").coalesce(1)
+    write = lambda d: d.coalesce(1).localCheckpoint()
+    got = {r.id: r.kept for r in copies.pruned(nodes, pairs, "id", "r", write).collect()}
+    assert got == {i: i % 2 == 0 for i in range(56)}
+    with pytest.raises(RuntimeError):
+        copies.pruned(nodes, pairs, "id", "r", write, most_rounds=2)
