@@ -16,6 +16,8 @@ from pyspark.sql import types as T
 
 #: k-means++ starts from at most this many rows (the least hashes of the key); all rows are then assigned and averaged.
 START_ROWS = 4096
+#: Of so many starts the one of least inertia counts. Iterations that have not settled after MOST_ROUNDS are an error.
+STARTS, MOST_ROUNDS = 5, 1000
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -71,36 +73,60 @@ def _nearest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
     return ((centres * centres).sum(axis=1) - 2 * x @ centres.T).argmin(axis=1)
 
 
-def kmeans(items: DataFrame, vector: str, key: str, k: int, seed: int = 0, rounds: int = 30, start: np.ndarray | None = None) -> np.ndarray:
-    """Centres of k-means over all rows; `start` continues from an earlier build's. An emptied centre stays where it was."""
+def _start(x: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
+    """k-means++ over a few rows."""
+    picked = [int(rng.integers(len(x)))]
+    far = ((x - x[picked[0]]) ** 2).sum(axis=1)
+    while len(picked) < min(k, len(x)) and far.max() > 0:
+        picked.append(int(rng.choice(len(x), p=far / far.sum())))
+        far = np.minimum(far, ((x - x[picked[-1]]) ** 2).sum(axis=1))
+    return x[picked]
+
+
+def kmeans(items: DataFrame, vector: str, key: str, k: int, seed: int = 0, rounds: int | None = None, start: np.ndarray | None = None) -> np.ndarray:
+    """Centres of k-means over all rows, iterated until they settle or for `rounds`, where given.
+
+    Of STARTS starts, which share their passes, the one of least inertia counts; `start` continues from an earlier
+    build's centres alone. An emptied centre stays where it was.
+    """
     rows = _rows(items, vector, key)
     if start is None:
         sample = rows.orderBy(F.xxhash64(F.lit(seed), key), key).limit(START_ROWS).collect()  # at most START_ROWS rows
         if not sample:
             return np.zeros((0, 0))
         x, rng = np.array([r[0] for r in sample], float), np.random.default_rng(seed)
-        picked = [int(rng.integers(len(x)))]
-        far = ((x - x[picked[0]]) ** 2).sum(axis=1)
-        while len(picked) < min(k, len(x)) and far.max() > 0:
-            picked.append(int(rng.choice(len(x), p=far / far.sum())))
-            far = np.minimum(far, ((x - x[picked[-1]]) ** 2).sum(axis=1))
-        start = x[picked]
-    centres = np.array(start, float)
-    for _ in range(rounds):
-        now, dim = centres, centres.shape[1]
-
-        def sums(b, now=now, dim=dim):
+        every = [_start(x, k, rng) for _ in range(STARTS)]
+    else:
+        every = [np.array(start, float)]
+    dim, cost, open_ = every[0].shape[1], np.full(len(every), np.inf), list(range(len(every)))
+    sizes = [c.shape[0] * (dim + 1) + 1 for c in every]
+    for _ in range(MOST_ROUNDS if rounds is None else rounds):
+        now = [every[i] for i in open_]
+
+        def sums(b, now=now):
             x = _matrix(b.column(0))
-            out = np.zeros((len(now), dim + 1))
-            at = _nearest(x, now)
-            np.add.at(out, at, np.c_[x, np.ones(len(x))])
-            return out.ravel()
-
-        found = _summed(rows.select("_v"), sums, now.shape[0] * (dim + 1)).reshape(len(now), dim + 1)
-        centres = np.where(found[:, -1:] > 0, found[:, :-1] / np.maximum(found[:, -1:], 1), now)
-        if np.abs(centres - now).max() < 1e-9:
+            parts = []
+            for centres in now:
+                out = np.zeros((len(centres), dim + 1))
+                at = _nearest(x, centres)
+                np.add.at(out, at, np.c_[x, np.ones(len(x))])
+                parts += [out.ravel(), [((x - centres[at]) ** 2).sum()]]
+            return np.concatenate(parts)
+
+        found, at, left = _summed(rows.select("_v"), sums, sum(sizes[i] for i in open_)), 0, []
+        for i in open_:
+            one, at = found[at : at + sizes[i]], at + sizes[i]
+            table, before = one[:-1].reshape(-1, dim + 1), every[i]
+            every[i], cost[i] = np.where(table[:, -1:] > 0, table[:, :-1] / np.maximum(table[:, -1:], 1), before), one[-1]
+            if np.abs(every[i] - before).max() >= 1e-9:
+                left.append(i)
+        open_ = left
+        if not open_:
             break
-    return centres
+    else:
+        if rounds is None:
+            raise RuntimeError(f"centres did not settle in {MOST_ROUNDS} rounds")
+    return every[int(cost.argmin())]
 
 
 def merged_centres(centres: np.ndarray, over: float = 0.80) -> np.ndarray:
@@ -183,12 +209,12 @@ class Softmax:
         return z / z.sum(axis=1, keepdims=True)
 
 
-def train(items: DataFrame, vector: str, label: str, classes: int, held: Column, l2: float = 1e-3, rounds: int = 60, prior: np.ndarray | None = None) -> Softmax:
+def train(items: DataFrame, vector: str, label: str, classes: int, held: Column, l2: float = 1e-3, rounds: int | None = None, prior: np.ndarray | None = None) -> Softmax:
     """A class-balanced softmax over all rows that aren't held out, pulled to a prior, by accelerated gradient passes.
 
     It stops where the held-out loss has not fallen for five rounds and keeps the best; its temperature is the one of
     least held-out loss. Labels are 0 to classes - 1; rows without a label or vector take no part. Without rows to
-    hold out, all rounds run at temperature 1.
+    hold out, it stops where the gradient is next to nothing, at temperature 1. `rounds` ends it before, where given.
     """
     rows = _rows(items.where(F.col(label).between(0, classes - 1)), vector, F.col(label).cast("int").alias("_y"), F.coalesce(held, F.lit(False)).alias("_h"))
     fit, hold = rows.where("NOT _h"), rows.where("_h")
@@ -226,7 +252,7 @@ def train(items: DataFrame, vector: str, label: str, classes: int, held: Column,
         return found[1:] / found[0] if found[0] else None
 
     best, least, since = None, np.inf, 0
-    for t in range(rounds):
+    for t in range(MOST_ROUNDS if rounds is None else rounds):
         g = gradient(Softmax(mean, spread, ahead_w, ahead_b))
         nw, nb = ahead_w - step * (g[:-1] + l2 * (ahead_w - start)), ahead_b - step * g[-1]
         ahead_w, ahead_b = nw + t / (t + 3) * (nw - w), nb + t / (t + 3) * (nb - b)
@@ -235,10 +261,15 @@ def train(items: DataFrame, vector: str, label: str, classes: int, held: Column,
         loss = losses(model, [1.0])
         if loss is None:
             best = model
+            if np.abs(np.concatenate((g[:-1] + l2 * (ahead_w - start), g[-1:]))).max() < 1e-4:
+                break
         elif loss[0] < least - 1e-6:
             best, least, since = model, loss[0], 0
         elif (since := since + 1) >= 5:
             break
+    else:
+        if rounds is None:
+            raise RuntimeError(f"the model did not settle in {MOST_ROUNDS} rounds")
     model = best or Softmax(mean, spread, w, b)
     if (found := losses(model, heats)) is not None:
         model.temperature = float(heats[found.argmin()])

@@ -262,7 +262,7 @@ def medoid_pick(t: Tables) -> DataFrame:
 def kmeans_families(t: Tables) -> DataFrame:
     """Families of all vectors; an iteration, which SQL does not express."""
     n = t.embeddings.count()
-    centres = K.kmeans(t.embeddings, "embedding", "vec_id", K.families_wanted(n, 800, 8, 30), rounds=10)
+    centres = K.kmeans(t.embeddings, "embedding", "vec_id", K.families_wanted(n, 800, 8, 30))
     return K.assigned(t.embeddings, "embedding", "vec_id", centres, K.merged_centres(centres))
 
 
@@ -270,5 +270,5 @@ def kmeans_families(t: Tables) -> DataFrame:
 def sound_model(t: Tables) -> DataFrame:
     """A softmax model of the groups' vectors, learned on four fifths of the rows and applied to all."""
     top = t.embeddings.agg(F.max("label")).first()[0]
-    model = K.train(t.embeddings, "embedding", "label", (top or 0) + 1, F.pmod(F.xxhash64("vec_id"), F.lit(5)) == 0, rounds=15)
+    model = K.train(t.embeddings, "embedding", "label", (top or 0) + 1, F.pmod(F.xxhash64("vec_id"), F.lit(5)) == 0)
     return K.classified(t.embeddings, "embedding", "vec_id", model)

@@ -70,3 +70,14 @@ def test_softmax_learns_and_calibrates(blobs):
     got = {r.id: (r.label, r.probability) for r in C.classified(df, "v", "id", model).collect()}
     assert np.mean([got[i][0] == i // 40 for i in range(120)]) > 0.97
     assert all(0 <= p <= 1 for _, p in got.values()) and model.temperature in 2.0 ** np.arange(-3, 3.5, 0.5)
+
+
+def test_centres_of_many_rows_settle(spark):
+    rng = np.random.default_rng(12)
+    x = rng.uniform(size=(1500, 4))
+    df = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "id long, v array<double>")
+    centres = C.kmeans(df, "v", "id", 8)
+    at = ((x[:, None] - centres) ** 2).sum(axis=2).argmin(axis=1)
+    assert np.allclose([x[at == i].mean(axis=0) for i in range(8)], centres, atol=1e-8)
+    early = C.kmeans(df, "v", "id", 8, rounds=10)
+    assert not np.allclose(early, C.kmeans(df, "v", "id", 8, start=early, rounds=1), atol=1e-8)
