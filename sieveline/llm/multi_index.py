@@ -2,7 +2,7 @@
 
 Vectors are brought to unit length and cut into two halves; each half has CENTROIDS centroids, fitted on at most
 SAMPLE rows (the least hashes of vec_id). An entry lies in the cell of its pair of nearest centroids. A query walks
-the pairs by summed distance, least first, with a heap, until the cells hold SHARE of all entries, and all entries of
+the pairs by summed distance, least first, with a heap, until the cells hold SHARE of all entries and K others at least, and all entries of
 those cells are ranked by the exact cosine in double precision.
 
 Cells with the same first centroid meet in one block, split by salts into at most BLOCK entries, and queries come in
@@ -132,7 +132,7 @@ def nearest(entries: DataFrame, is_query, k: int = 5, share: float = SHARE) -> D
             da, db = halves(unit(matrix(batch.column(1))), *pair)
             at, block, masks = [], [], []
             for n in range(len(batch)):
-                seen = walk(da[n], db[n], counts, share * total)
+                seen = walk(da[n], db[n], counts, max(share * total, k + 1))  # the query itself is one of them
                 for a in np.flatnonzero(seen.any(axis=1)):
                     at.append(n)
                     block.append(a)

@@ -105,6 +105,14 @@ def test_neighbours_and_recall(spark):
     assert multi_index.nearest(spark.createDataFrame([], "vec_id long, embedding array<float>"), F.lit(True)).count() == 0
 
 
+def test_neighbours_of_small_tables_are_whole(spark):
+    x = np.random.default_rng(1).normal(size=(8, 6))
+    df = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "vec_id long, embedding array<double>")
+    for n, want in ((8, 5), (4, 3)):
+        got = multi_index.nearest(df.where(F.col("vec_id") < n), F.lit(True)).groupBy("query_id").count().collect()
+        assert {r.query_id: r["count"] for r in got} == dict.fromkeys(range(n), want)
+
+
 def test_language_model_sums_to_one_and_tells_languages(spark):
     codes, _, _ = langid.coded(*langid.packed(["abc abd abc", "bca"]), langid.alphabet(["abcd"]))
     model = langid.KneserNey(codes)
