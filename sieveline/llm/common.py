@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -10,21 +11,33 @@ from contextlib import contextmanager
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 U64 = np.uint64
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share (spark.checkpoint.dir); a local temporary folder only where it is unset."""
+    """The folder all executors share (spark.checkpoint.dir); where it is unset, a temporary one if all runs in one JVM."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not re.fullmatch(r"local(\[[^-]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         where = tempfile.mkdtemp(prefix="sieveline-")
         spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/sieveline/{uuid.uuid4().hex}/{name}"
+    """A new path in the shared folder; what lies there goes when the driver's JVM ends."""
+    top = f"{shared_dir(spark)}/sieveline/{uuid.uuid4().hex}"
+    p, fs = _hadoop(spark, top)
+    fs.deleteOnExit(p)
+    return f"{top}/{name}"
+
+
+def _hadoop(spark: SparkSession, path: str) -> tuple:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
 #: Shuffle files of an execution go when it ends, not when the driver happens to collect its garbage.
@@ -56,8 +69,24 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 
 
 def remove(spark: SparkSession, path: str) -> None:
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    p, fs = _hadoop(spark, path)
+    fs.delete(p, True)
+
+
+def numbered(rows: DataFrame, key: str, *ties: str) -> tuple[DataFrame, bool]:
+    """rows with `_row` (long), which no two rows share, and whether it is the key itself: it is unique and not null.
+
+    Otherwise rows are sorted by key (nulls first) and ties across all partitions, numbered in that order and written,
+    so that a second reading finds the same numbers. Rows equal in all of these columns are numbered in any order.
+    """
+    seen = rows.groupBy(F.col(key).cast("long").alias("k")).agg(F.count(F.lit(1)).alias("n"))
+    if seen.where("n > 1 OR k IS NULL").isEmpty():
+        return rows.withColumn("_row", F.col(key).cast("long")), True
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    order = [F.col(c).asc_nulls_first() for c in (key, *ties)]
+    dealt = rows.repartitionByRange(parts, order[0], F.xxhash64(*ties).asc_nulls_first()) if ties else rows.repartitionByRange(parts, order[0])
+    inner = [order[0], F.xxhash64(*ties).asc_nulls_first(), *order[1:]] if ties else order
+    return materialize(dealt.sortWithinPartitions(*inner).withColumn("_row", F.monotonically_increasing_id()), "numbered"), False
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

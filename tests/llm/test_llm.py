@@ -60,6 +60,37 @@ def test_suffix_dedup_equals_brute_force(docs):
     assert sum(x[1] for x in got.values())
 
 
+def removed(df):
+    return sorted(((r.doc_id is not None, r.doc_id or 0, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.repeated_spans(df).collect()))
+
+
+def test_rows_of_one_doc_id_are_documents_of_their_own(spark):
+    a, b = "one text of more than a hundred bytes " * 3, "".join(chr(33 + i * 7 % 90) for i in range(300))
+    rows = [(1, b), (1, b), (2, a + b), (2, b + a), (None, b[:150]), (None, None), (3, "")]
+    df = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, n_removed string")
+    order = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("doc_id", "text", "xxhash64(text) h").collect()
+    order = sorted(order, key=lambda r: (r.doc_id is not None, r.doc_id or 0, r.h, r.text or ""))
+    want = covered([(i, r.text or "") for i, r in enumerate(order)])
+    assert removed(df) == sorted((r.doc_id is not None, r.doc_id or 0, *want[i]) for i, r in enumerate(order))
+    assert sum(r[3] for r in removed(df)) >= 900 and not removed(df.limit(0))
+
+
+def test_one_hot_line_is_split_and_exact(spark, monkeypatch):
+    rng = random.Random(11)
+    line = "".join(rng.choice("abcdefghij ") for _ in range(140))
+    noise = lambda: "".join(rng.choice("klmnopq") for _ in range(rng.randint(0, 300)))
+    rows = [(i, noise() + line + noise()) for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    want = sorted((True, d, *x) for d, x in covered(rows).items())
+    assert removed(df) == want and sum(x[3] for x in want) >= 399 * 140
+    monkeypatch.setattr(suffix_dedup, "MOST", 5)
+    assert removed(df) == want
+    for name, value in (("MOST", 1 << 30), ("SAMPLED", 1), ("HOT", 0.005)):
+        monkeypatch.setattr(suffix_dedup, name, value)
+    assert len(suffix_dedup.hot_anchors(df.withColumnRenamed("doc_id", "_row")))
+    assert removed(df) == want
+
+
 def test_simhash_equals_brute_force(docs):
     rows = texts_of(docs)
 
