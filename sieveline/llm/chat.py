@@ -3,14 +3,18 @@
 `link` hash-joins calls and results by identifier, orders them topologically, validates the calls' arguments against
 a schema and writes every message as one canonical JSON object (keys sorted, no white space, nulls left out).
 
-Order: a message's place is (turn of what it answers, or its own; 0 for a call or plain message, 1 for a result; its
-own turn), so that a result stands after its call even where it came before it. That is a topological order of the
-graph of calls and results, needs no rank over a conversation, and so no conversation has to fit in one task.
-A result without call, a second result of a call, a call without result and a repeated call identifier are flagged.
-
-Schemas name the arguments with their type (string, number, boolean, array, object), whether they are required and the
-most characters of a string. Null or unparsable arguments are invalid; unknown arguments are, too. Null ids link to
-nothing. Empty tables give empty results.
+Order: a message's place is (anchor, step, its own turn). A plain message or call is anchored at its own turn, a result
+at its call's, a step later, so that it stands after its call even where it came before it. Calls may name the results
+they need (`needs`, identifiers of calls of the same conversation): where a needed result would stand behind its call,
+the call moves behind it, round by round, each round a join over the edges that are still out of order. A call that
+moves on past as many calls as there are stands on a cycle, or behind one: it is flagged, stays, and holds up nobody. Places are sort keys, not ranks, so that no conversation has to fit in one task.
+
+A result without call, all but the first result of a call (by turn, then by hash of the body), a call without result
+and a repeated call identifier are flagged. Rows that equal another result of their call in turn and body cannot be told
+apart, so none of them is the first. A null kind is plain; a call or result without conversation or identifier has no
+identifier. Schemas name the arguments with their type (string, number, boolean, array, object), whether they are
+required and the most characters of a string. Null or unparsable arguments are invalid; unknown arguments are, too.
+Columns of other names are not read. Empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -49,29 +53,70 @@ def canonical(arguments: Column) -> Column:
     return F.to_json(F.try_parse_json(arguments))
 
 
-def link(messages: DataFrame, schemas: dict = SCHEMAS) -> DataFrame:
-    """messages (conv_id, turn, kind: call / result / plain, call_id, tool, body) -> one row for each, with place and json."""
-    rows = messages.withColumn("n_own", F.lit(1))
-    ids = rows.where(F.col("call_id").isNotNull()).groupBy("conv_id", "call_id").agg(
-        F.min(F.when(F.col("kind") == "call", F.col("turn"))).alias("call_turn"),
-        F.min(F.when(F.col("kind") == "result", F.col("turn"))).alias("result_turn"),
-        F.count_if(F.col("kind") == "call").alias("n_calls"),
-        F.count_if(F.col("kind") == "result").alias("n_results"),
+def _identified(rows: DataFrame) -> DataFrame:
+    """conv_id, call_id, call_turn, n_calls, n_results, first (turn and hash of the first result) and same (rows equal to it)."""
+    each = rows.where("kind <> 'plain' AND conv_id IS NOT NULL AND call_id IS NOT NULL").groupBy("conv_id", "call_id", "kind", "turn", "h").agg(F.count(F.lit(1)).alias("n"))
+    is_call, is_result = F.col("kind") == "call", F.col("kind") == "result"
+    return each.groupBy("conv_id", "call_id").agg(
+        F.min(F.when(is_call, F.col("turn"))).alias("call_turn"),
+        F.coalesce(F.sum(F.when(is_call, F.col("n"))), F.lit(0)).alias("n_calls"),
+        F.coalesce(F.sum(F.when(is_result, F.col("n"))), F.lit(0)).alias("n_results"),
+        F.min(F.when(is_result, F.struct(F.col("turn").isNull().alias("late"), "turn", "h", "n"))).alias("first"),
     )
-    rows = rows.drop("n_own").join(ids, ["conv_id", "call_id"], "left")
+
+
+def _moved(calls: DataFrame) -> DataFrame:
+    """calls (conv_id, call_id, turn, needs) -> conv_id, call_id, at, depth, cyclic of those that move or lie on a cycle."""
+    keys = ["conv_id", "call_id"]
+    place = C.materialize(calls.select(*keys, F.col("turn").alias("at"), F.lit(0).alias("depth"), F.lit(False).alias("cyclic")), "places")
+    needs = calls.select(*keys, F.explode(F.array_distinct("needs")).alias("need")).where("need IS NOT NULL")
+    sizes = calls.groupBy("conv_id").agg(F.count(F.lit(1)).alias("most"))
+    edges = C.materialize(needs.join(sizes, "conv_id"), "needs")
+    while True:
+        of = place.where("NOT cyclic").select("conv_id", F.col("call_id").alias("need"), F.struct("at", "depth").alias("before"))
+        now = place.where("NOT cyclic").select(*keys, F.struct("at", "depth").alias("now"))
+        late = edges.join(of, ["conv_id", "need"]).join(now, keys).where(F.col("before") >= F.col("now"))
+        late = C.materialize(late.groupBy(*keys).agg(F.max("before").alias("before"), F.max("most").alias("most")), "late")
+        if late.isEmpty():
+            return place.where("cyclic OR depth > 0")
+        # no path of calls is longer than there are calls: who moves further stands on or behind a cycle
+        new = place.join(late, keys, "left")
+        moves = F.col("before").isNotNull()
+        lost = moves & (F.col("before.depth") >= F.col("most"))
+        place = C.materialize(new.select(*keys, F.when(moves, F.col("before.at")).otherwise(F.col("at")).alias("at"), F.when(moves, F.col("before.depth") + 1).otherwise(F.col("depth")).alias("depth"), (F.col("cyclic") | lost).alias("cyclic")), "places")
+
+
+def link(messages: DataFrame, schemas: dict = SCHEMAS) -> DataFrame:
+    """messages (conv_id, turn, kind: call / result / plain, call_id, tool, body, perhaps needs) -> one row for each, with place and json."""
+    kind = F.when(F.col("kind").isin("call", "result"), F.col("kind")).otherwise("plain")
+    rows = messages.select("conv_id", "turn", kind.alias("kind"), "call_id", "tool", "body", *(["needs"] if "needs" in messages.columns else [])).withColumn("h", F.xxhash64("body"))
+    ids = _identified(rows)
+    if "needs" in messages.columns:
+        single = ids.where("n_calls = 1").select("conv_id", "call_id")
+        calls = rows.where("kind = 'call'").join(single, ["conv_id", "call_id"]).select("conv_id", "call_id", "turn", "needs")
+        ids = ids.join(_moved(calls), ["conv_id", "call_id"], "left")
+    else:
+        ids = ids.select("*", F.lit(None).cast("long").alias("at"), F.lit(None).cast("int").alias("depth"), F.lit(None).cast("boolean").alias("cyclic"))
+    rows = rows.join(ids.hint("shuffle_hash"), ["conv_id", "call_id"], "left")
     is_call, is_result = F.col("kind") == "call", F.col("kind") == "result"
-    linked = (is_call & (F.col("n_results") > 0)) | (is_result & (F.col("n_calls") > 0))
+    linked = F.coalesce((is_call & (F.col("n_results") > 0)) | (is_result & (F.col("n_calls") > 0)), F.lit(False))
+    mine = F.struct(F.col("turn").isNull().alias("late"), "turn", "h")
+    first = mine.eqNullSafe(F.struct("first.late", "first.turn", "first.h")) & (F.col("first.n") == 1)
+    cyclic = F.coalesce("cyclic", F.lit(False))
     state = (
         F.when(F.col("kind") == "plain", F.lit(None).cast("string"))
-        .when(F.col("call_id").isNull(), "no identifier")
+        .when(F.col("conv_id").isNull() | F.col("call_id").isNull(), "no identifier")
         .when(is_call & (F.col("n_calls") > 1), "repeated call")
-        .when(is_result & (F.col("turn") > F.col("result_turn")), "repeated result")
+        .when(is_call & cyclic, "cyclic")
         .when(is_call & ~linked, "no result")
         .when(is_result & ~linked, "no call")
+        .when(is_result & ~first, "repeated result")
         .otherwise("linked")
     )
-    anchor = F.when(is_result & linked, F.col("call_turn")).otherwise(F.col("turn"))
-    rows = rows.withColumns({"state": state, "anchor": anchor, "step": is_result.cast("int"), "valid": F.when(is_call, valid(F.col("tool"), F.col("body"), schemas))})
+    moved = F.col("at").isNotNull() & ~cyclic
+    anchor = F.when((is_call | is_result) & moved, F.col("at")).when(is_result & linked, F.col("call_turn")).otherwise(F.col("turn"))
+    step = is_result.cast("int") + F.when((is_call | is_result) & moved, 2 * F.col("depth")).otherwise(0)
+    rows = rows.withColumns({"state": state, "anchor": anchor, "step": step, "valid": F.when(is_call, valid(F.col("tool"), F.col("body"), schemas))})
     text = F.struct(
         F.when(is_call, canonical(F.col("body"))).alias("arguments"),
         F.col("call_id").alias("call_id"),
@@ -95,3 +140,29 @@ def turns(conversations: DataFrame) -> DataFrame:
 
 def op10_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link(turns(C.table(spark, sf_dir, "conversations")))
+
+
+OP10_SQL = """
+WITH m AS (
+  SELECT conv_id, turn, text, CASE role WHEN 'user' THEN 'call' WHEN 'assistant' THEN 'result' ELSE 'plain' END AS kind,
+         'call_' || conv_id || '_' || CASE role WHEN 'user' THEN turn WHEN 'assistant' THEN turn - 1 END AS call_id,
+         len(list_filter(string_split_regex(text, '[ \\t\\n\\v\\f\\r]+'), lambda w: w <> '')) AS words
+  FROM conversations),
+k AS (
+  SELECT conv_id, call_id, min(turn) FILTER (kind = 'call') AS call_turn, count(*) FILTER (kind = 'call') AS n_calls, count(*) FILTER (kind = 'result') AS n_results
+  FROM m WHERE call_id IS NOT NULL GROUP BY conv_id, call_id)
+SELECT m.conv_id, m.turn, m.kind, m.call_id,
+       CASE WHEN m.kind = 'plain' THEN NULL WHEN m.call_id IS NULL THEN 'no identifier' WHEN m.kind = 'call' AND n_calls > 1 THEN 'repeated call'
+            WHEN m.kind = 'call' AND n_results = 0 THEN 'no result' WHEN m.kind = 'result' AND n_calls = 0 THEN 'no call'
+            WHEN m.kind = 'result' AND n_results > 1 THEN 'repeated result' ELSE 'linked' END AS state,
+       CASE WHEN m.kind = 'call' THEN coalesce(length(text) <= 4000, false) END AS valid,
+       CASE WHEN m.kind = 'result' AND n_calls > 0 THEN call_turn ELSE m.turn END AS anchor,
+       CASE WHEN m.kind = 'result' THEN 1 ELSE 0 END AS step,
+       '{' || concat_ws(',',
+         CASE WHEN m.kind = 'call' AND text IS NOT NULL THEN '"arguments":' || CAST(to_json('{"prompt":' || CAST(to_json(text) AS VARCHAR) || ',"words":' || words || '}') AS VARCHAR) END,
+         CASE WHEN m.call_id IS NOT NULL THEN '"call_id":"' || m.call_id || '"' END,
+         CASE WHEN m.kind <> 'call' AND text IS NOT NULL THEN '"content":' || CAST(to_json(text) AS VARCHAR) END,
+         '"kind":"' || m.kind || '"',
+         CASE WHEN m.kind <> 'plain' THEN '"tool":"reply"' END) || '}' AS json
+FROM m LEFT JOIN k ON m.conv_id = k.conv_id AND m.call_id = k.call_id
+"""

@@ -2,11 +2,13 @@
 
 Texts are canonical after Unicode compatibility composition (NFKC), full case folding, composition again and folding
 of white-space runs to one space without ends; both Unicode steps are ICU's, called on the JVM. The fingerprint is
-256 bits of XXH64 with four seeds. `groups` gives classes of equal canonical texts: equal fingerprints make a bucket, and within a
-bucket bytes are compared by partial minima and maxima, so that no bucket's rows meet in one task; a bucket whose
-bytes differ (a collision) is told apart by the bytes themselves.
+256 bits of XXH64 with four seeds. `groups` gives classes of equal canonical texts: equal fingerprints make a bucket,
+and within a bucket of several rows bytes are compared by partial minima and maxima, so that no bucket's rows meet in
+one task; a bucket whose bytes differ (a collision) is told apart by the bytes themselves. As an exact digest, likeness
+is 0 or 1: two texts are alike if they are of one class.
 
-Null text is empty. Repeated rows share a class. Empty tables give empty results.
+Null text is empty. Rows with a repeated or null doc_id are documents of their own, in the order of (doc_id, text), null
+first. Columns of other names are not read. Empty tables give empty results; a single document is its own next one.
 """
 
 from __future__ import annotations
@@ -16,9 +18,6 @@ from pyspark.sql import functions as F
 
 from . import common as C
 
-#: Documents of this many consecutive ids meet to see their neighbours.
-STRETCH = 128
-
 
 def canonical(text: Column) -> Column:
     def composed(x: Column) -> Column:
@@ -35,58 +34,76 @@ def fingerprint(canon: Column) -> Column:
     return F.lower(F.concat(*(F.lpad(F.hex(F.xxhash64(F.lit(seed), canon)), 16, "0") for seed in range(4))))
 
 
-def groups(docs: DataFrame) -> DataFrame:
-    """doc_id, fingerprint, class_id (least doc_id of the same canonical text), n (rows of the class)."""
-    rows = docs.select("doc_id", canonical(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("canon"))
-    rows = rows.withColumn("fingerprint", fingerprint(F.col("canon")))
-    buckets = rows.groupBy("fingerprint").agg(F.min("canon").alias("lo"), F.max("canon").alias("hi"), F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n"))
-    buckets = C.materialize(buckets.select("fingerprint", "least", "n", (F.col("lo") == F.col("hi")).alias("same")), "buckets")
-    light = rows.select("doc_id", "fingerprint")
-    same = light.join(buckets.where("same"), "fingerprint").select("doc_id", "fingerprint", F.col("least").alias("class_id"), "n")
-    if buckets.where("NOT same").isEmpty():
-        return same
-    clash = rows.join(buckets.where("NOT same").select("fingerprint"), "fingerprint", "left_semi")
-    parts = clash.groupBy("fingerprint", "canon").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("n"))
-    return same.unionByName(clash.join(parts, ["fingerprint", "canon"]).select("doc_id", "fingerprint", "class_id", "n"))
-
-
-def with_next(docs: DataFrame) -> DataFrame:
-    """doc_id, t, and `after`: the text of the next doc_id (after the last: of the first).
-
-    Neighbours meet in stretches of STRETCH ids; a stretch's last document takes the first of the next stretch that
-    has any. Of stretches only (number, number of the next) pass through a window without keys, in stretches again.
-    """
+def _rows(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(_row, t) and (_row, doc_id): one row for each document, in the order of _row."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("t"))
-    rows = rows.withColumn("b", F.floor(F.coalesce("doc_id", F.lit(-1)) / STRETCH).cast("long"))
-    heads = rows.select("b").distinct()
-    links = C.materialize(_next_number(heads), "stretches")
-    firsts = rows.join(rows.groupBy("b").agg(F.min("doc_id").alias("doc_id")), ["b", "doc_id"], "left_semi").groupBy("b").agg(F.min("t").alias("first"))
-    ahead = links.join(firsts, links["next"] == firsts["b"]).select(links["b"], "first")
-    order = Window.partitionBy("b").orderBy("doc_id", "t")
-    near = rows.withColumn("inner", F.lead("t").over(order))
-    out = near.join(ahead, "b", "left")
-    return out.select("doc_id", "t", F.coalesce("inner", "first").alias("after"))
-
-
-def _next_number(numbers: DataFrame) -> DataFrame:
-    """(b, next): the next larger number, the least after the greatest; distinct numbers."""
-    far = numbers.withColumn("far", F.floor(F.col("b") / 65536))
-    tops = far.groupBy("far").agg(F.min("b").alias("low"))  # one row for each 65536 stretches
-    turn = tops.agg(F.min("low").alias("least"))
-    tops = tops.withColumn("low_next", F.lead("low").over(Window.orderBy("far"))).crossJoin(F.broadcast(turn))
-    inner = far.withColumn("n", F.lead("b").over(Window.partitionBy("far").orderBy("b")))
-    return inner.join(F.broadcast(tops), "far").select("b", F.coalesce("n", "low_next", "least").alias("next"))
+    rows, plain = C.numbered(rows, "doc_id", "t")
+    return rows.select("_row", "t"), rows.select("_row", F.col("_row").alias("doc_id") if plain else "doc_id")
+
+
+def classes(rows: DataFrame, marks: DataFrame) -> DataFrame:
+    """rows (_row, t) and marks (_row, fingerprint) -> _row, class_row (the least of the class), n (rows of the class)."""
+    buckets = C.materialize(marks.groupBy("fingerprint").agg(F.min("_row").alias("class_row"), F.count(F.lit(1)).alias("n")), "buckets")
+    alone = buckets.where("n = 1").select(F.col("class_row").alias("_row"), "class_row", "n")
+    many = marks.join(buckets.where("n > 1"), "fingerprint")
+    texts = rows.join(many.select("_row", "fingerprint"), "_row").select("_row", "fingerprint", canonical(F.col("t")).alias("canon"))
+    ends = texts.groupBy("fingerprint").agg(F.min("canon").alias("lo"), F.max("canon").alias("hi"))
+    told = C.materialize(ends.select("fingerprint", (F.col("lo") == F.col("hi")).alias("same")), "told")
+    same = many.join(told.where("same"), "fingerprint", "left_semi").select("_row", "class_row", "n")
+    found = alone.unionByName(same)
+    if told.where("NOT same").isEmpty():
+        return found
+    clash = texts.join(told.where("NOT same"), "fingerprint", "left_semi")
+    parts = clash.groupBy("fingerprint", "canon").agg(F.min("_row").alias("class_row"), F.count(F.lit(1)).alias("n"))
+    return found.unionByName(clash.join(parts, ["fingerprint", "canon"]).select("_row", "class_row", "n"))
 
 
-def op8_exact_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = with_next(C.table(spark, sf_dir, "documents"))
-    n, half = F.length("t"), F.floor(F.length("t") / 2)
-    rows = rows.withColumn("edited", F.concat(F.substring(F.col("t"), F.lit(1), n - half), F.substring(F.col("after"), F.lit(1), half)))
-    for name, text in (("a", "t"), ("e", "edited"), ("x", "after")):
-        rows = rows.withColumn(f"c{name}", canonical(F.col(text))).withColumn(f"f{name}", fingerprint(F.col(f"c{name}")))
+def groups(docs: DataFrame) -> DataFrame:
+    """doc_id, fingerprint, class_id (doc_id of the first row of the same canonical text), n (rows of the class)."""
+    rows, ids = _rows(docs)
+    marks = C.materialize(rows.select("_row", fingerprint(canonical(F.col("t"))).alias("fingerprint")), "marks")
+    found = classes(rows, marks).join(marks, "_row").join(ids, "_row")
+    first = ids.select(F.col("_row").alias("class_row"), F.col("doc_id").alias("class_id"))
+    return found.join(first, "class_row").select("doc_id", "fingerprint", "class_id", "n")
 
-    def near(other: str) -> Column:
-        """Equal fingerprints, and then equal bytes."""
-        return F.when((F.col("fa") == F.col(f"f{other}")) & (F.col("ca") == F.col(f"c{other}")), 1.0).otherwise(0.0)
 
-    return rows.select("doc_id", n.cast("long").alias("n_chars"), F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), F.col("fa").alias("fingerprint"), F.col("fe").alias("edited_fingerprint"), near("e").alias("near_edited"), near("x").alias("near_next"))
+def neighbours(rows: DataFrame) -> DataFrame:
+    """rows (_row, n) -> _row, before, half: the row before it (before the first: the last), and half of that one's n.
+
+    Rows are dealt by ranges of _row and looked at within their range; of the ranges only the last rows meet, one for
+    each shuffle partition. No texts travel here.
+    """
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = C.materialize(rows.select("_row", "n").repartitionByRange(parts, "_row").withColumn("part", F.spark_partition_id()), "ranges")
+    one = F.struct("_row", "n")
+    lasts = dealt.groupBy("part").agg(F.max(one).alias("last"))
+    ahead = lasts.withColumn("l", F.lag("last").over(Window.orderBy("part")))
+    whole = lasts.agg(F.max_by("last", "part").alias("turn"))
+    ahead = ahead.crossJoin(F.broadcast(whole)).select("part", F.coalesce("l", "turn").alias("far"))
+    near = dealt.withColumn("near", F.lag(one).over(Window.partitionBy("part").orderBy("_row")))
+    found = near.join(F.broadcast(ahead), "part").select("_row", F.coalesce("near", "far").alias("x"))
+    return found.select("_row", F.col("x._row").alias("before"), F.floor(F.col("x.n") / 2).cast("int").alias("half"))
+
+
+def edited(rows: DataFrame, links: DataFrame) -> DataFrame:
+    """rows (_row, t) -> _row, t, edited: the last half of t replaced by as much of the next row's text."""
+    heads = rows.join(links, "_row").select(F.col("before").alias("to"), F.substring(F.col("t"), F.lit(1), F.col("half")).alias("head"))
+    n = F.length("t")
+    kept = F.substring(F.col("t"), F.lit(1), n - F.floor(n / 2).cast("int"))
+    return rows.join(heads, F.col("_row") == F.col("to")).select("_row", "t", F.concat(kept, "head").alias("edited"))
+
+
+def op8_exact_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, ids = _rows(C.table(spark, sf_dir, "documents"))
+    links = C.materialize(neighbours(rows.select("_row", F.length("t").alias("n"))), "neighbours")
+    found = edited(rows, links).withColumns({"ca": canonical(F.col("t")), "ce": canonical(F.col("edited"))})
+    found = found.withColumns({"fa": fingerprint(F.col("ca")), "fe": fingerprint(F.col("ce"))})
+    like = F.when((F.col("fa") == F.col("fe")) & (F.col("ca") == F.col("ce")), 1.0).otherwise(0.0)
+    found = found.select("_row", F.length("t").cast("long").alias("n_chars"), F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), F.col("fa").alias("fingerprint"), F.col("fe").alias("edited_fingerprint"), like.alias("near_edited"))
+    found = C.materialize(found, "digests")
+    of = C.materialize(classes(rows, found.select("_row", "fingerprint")).select("_row", "class_row"), "classes")
+    after = links.join(of, "_row").select(F.col("before").alias("_row"), F.col("class_row").alias("class_next"))
+    first = ids.select(F.col("_row").alias("class_row"), F.col("doc_id").alias("class_id"))
+    out = found.join(of, "_row").join(after, "_row").join(ids, "_row").join(first, "class_row")
+    near = F.when(F.col("class_row") == F.col("class_next"), 1.0).otherwise(0.0)
+    return out.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", near.alias("near_next"), "class_id")

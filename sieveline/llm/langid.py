@@ -7,9 +7,10 @@ cross-entropy per character (ties: the first by name). Its score is a posterior
 of the learning sample, and it is rejected where its cross-entropy lies beyond all that this fifth shows, with a
 margin that widens for short texts.
 
-Learning takes at most PER_LANG documents of each language (the least hashes of doc_id) of at most MOST_CHARS
-characters; scoring reads every whole text. Null texts and texts without letters are `und` with score 0 and rejected.
-Without any document to learn from, everything is `und`.
+Learning takes at most PER_LANG documents of each language (the least hashes of doc_id; those beyond MOST_CHARS
+characters only where the others are too few, and of them that many characters); scoring reads every whole text. Null
+texts and texts without letters are `und` with score 0 and rejected. Bytes that are no UTF-8 count as U+FFFD. Repeated
+rows are scored alike, and columns of other names are not read. Without any document to learn from, all is `und`.
 """
 
 from __future__ import annotations
@@ -91,7 +92,10 @@ def alphabet(texts: list[str]) -> np.ndarray:
 
 def coded(text: np.ndarray, off: np.ndarray, letters: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(order-4 codes of all characters, their start for each text, whether the text has a letter); texts of UTF-8."""
-    points = np.frombuffer(text.tobytes().decode("utf-8", "replace").encode("utf-32-le"), np.uint32)
+    try:
+        points = np.frombuffer(text.tobytes().decode("utf-8").encode("utf-32-le"), np.uint32)
+    except UnicodeDecodeError:
+        return coded(*packed([text[a:b].tobytes().decode("utf-8", "replace") for a, b in zip(off[:-1], off[1:], strict=True)]), letters)
     begins = np.concatenate(([0], np.cumsum((text & 0xC0) != 0x80)))[off]
     c = letters[points].astype(np.int64)
     first = np.zeros(len(c) + 1, bool)
@@ -182,13 +186,14 @@ def learn(rows: list[tuple[str, str]]) -> Model:
 
 
 def sample(docs: DataFrame, may_learn) -> list[tuple[str, str]]:
-    """At most PER_LANG (lang, text) rows of each language that `may_learn` allows."""
-    able = docs.where(may_learn & F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.length("text") <= MOST_CHARS))
-    able = able.select(F.col("doc_id").alias("id"), F.col("lang").alias("la"), F.xxhash64("doc_id").alias("h"))
-    ranked = able.withColumn("r", F.row_number().over(Window.partitionBy("la").orderBy("h", "id"))).where(F.col("r") <= PER_LANG)
-    picked = F.broadcast(ranked.select("id", "la"))  # at most PER_LANG rows a language
-    rows = docs.select("doc_id", "lang", "text").join(picked, (F.col("doc_id") == F.col("id")) & (F.col("lang") == F.col("la")))
-    return sorted((r[0], r[1]) for r in rows.select("lang", "text").collect() if r[1] is not None)
+    """At most PER_LANG (lang, text) rows of each language that `may_learn` allows, of at most MOST_CHARS characters each."""
+    able = docs.where(may_learn & F.col("lang").isNotNull() & F.col("text").isNotNull())
+    able = able.select(F.col("doc_id").alias("id"), F.col("lang").alias("la"), F.xxhash64("doc_id").alias("h"), (F.length("text") > MOST_CHARS).alias("long"))
+    ranked = able.withColumn("r", F.row_number().over(Window.partitionBy("la").orderBy("long", "h", "id"))).where(F.col("r") <= PER_LANG)
+    picked = F.broadcast(ranked.select("id", "la").distinct())  # at most PER_LANG rows a language
+    rows = docs.where(may_learn).select("doc_id", "lang", F.substring("text", 1, MOST_CHARS).alias("t")).join(picked, (F.col("doc_id").eqNullSafe(F.col("id"))) & (F.col("lang") == F.col("la")))
+    one = rows.where("t IS NOT NULL").groupBy("lang", "doc_id").agg(F.min("t").alias("t"))
+    return sorted((r[0], r[1]) for r in one.select("lang", "t").collect())
 
 
 def train(docs: DataFrame, may_learn=None) -> Model:
@@ -215,17 +220,22 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def accepted(docs: DataFrame, model: Model) -> DataFrame:
-    """The rows that are not rejected, with the columns they came with."""
+    """The rows that are not rejected, with the columns they came with; a null lang becomes the language found."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index("text")
+    lang = docs.columns.index("lang") if "lang" in docs.columns and docs.schema["lang"].dataType.simpleString() == "string" else None
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
         for batch in batches:
             text, off = C.strings(batch.column(at))
             for lo, hi in C.chunks(off, CHUNK):
-                out = m.predict(text[off[lo] : off[hi]], off[lo : hi + 1] - off[lo])[3]
-                yield batch.slice(lo, hi - lo).filter(pa.array(~out))
+                found, _, _, out = m.predict(text[off[lo] : off[hi]], off[lo : hi + 1] - off[lo])
+                part = batch.slice(lo, hi - lo)
+                if lang is not None and part.column(lang).null_count:
+                    said = part.column(lang)
+                    part = part.set_column(lang, part.schema.field(lang), pa.array([f if s is None else s for s, f in zip(said.to_pylist(), found, strict=True)], said.type))
+                yield part.filter(pa.array(~out))
 
     return docs.mapInArrow(work, docs.schema)
 

@@ -14,7 +14,8 @@ are an error.
 
 The classifier sees at most SAMPLE labelled rows (the least hashes of doc_id) of at most MOST_BYTES bytes; posteriors
 and totals cover every row and whole texts. Null text is empty: no tokens, and a posterior of the classifier's bias. Without
-labelled rows, or with one domain only, all rates are 1 times the target of that one domain. Empty tables give empty results.
+labelled rows all posteriors are uniform, so that no rates can change a share: rates stay near 1 and a warning says so.
+Repeated rows have equal rates. Columns of any name are carried through `mixed`. Empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -125,8 +126,8 @@ def learn(docs: DataFrame, labels: DataFrame) -> Classifier | None:
     """From labels (doc_id, quality, toxic); None without usable rows."""
     known = labels.where(F.col("quality").isin(0, 1) & F.col("toxic").isin(0, 1)).groupBy(F.col("doc_id").alias("id")).agg(F.max(2 * F.col("quality") + F.col("toxic")).alias("y"))
     picked = F.broadcast(known.orderBy(F.xxhash64("id"), "id").limit(SAMPLE))  # at most SAMPLE rows
-    rows = docs.where(F.octet_length("text") <= MOST_BYTES).join(picked, F.col("doc_id") == F.col("id")).select("id", "y", "text")
-    rows = sorted({(r[0], r[1], r[2]) for r in rows.collect()})[:SAMPLE]
+    rows = docs.select("doc_id", "text").where(F.octet_length("text") <= MOST_BYTES).join(picked, F.col("doc_id") == F.col("id")).select("id", "y", "text")
+    rows = sorted({(r[0], r[1], r[2]) for r in rows.orderBy(F.xxhash64("id"), "id", F.xxhash64("text")).limit(SAMPLE).collect()})
     if not rows:
         return None
     terms, found = Terms(), []
@@ -239,12 +240,13 @@ def mixed(docs: DataFrame, labels: DataFrame, target: dict[str, float] = TARGET)
 
     The draw is a hash of the row, so a run repeats itself.
     """
-    found = rates(docs, labels, docs.columns, target) if not {"tokens", "posterior", "rate", "_text"} & set(docs.columns) else None
-    if found is None:
-        raise ValueError("columns named tokens, posterior, rate or _text are taken")
-    draw = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 20)) / float(1 << 20)
+    rows = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), docs["text"])
+    if "doc_id" not in docs.columns:
+        raise ValueError("documents need a doc_id")
+    found = rates(rows.withColumn("doc_id", F.col("row.doc_id")), labels, ["row"], target)
+    draw = F.pmod(F.xxhash64("row.doc_id", "row.text"), F.lit(1 << 20)) / float(1 << 20)
     times = (F.floor("rate") + (draw < F.col("rate") - F.floor("rate")).cast("int")).cast("int")
-    return found.withColumn("_n", F.explode(F.array_repeat(F.lit(1), times))).select(*docs.columns)
+    return found.withColumn("n", F.explode(F.array_repeat(F.lit(1), times))).select("row.*")
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

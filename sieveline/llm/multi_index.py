@@ -9,7 +9,7 @@ Cells with the same first centroid meet in one block, split by salts into at mos
 blocks of at most BLOCK too; each pair of blocks returns the best K of each query, so no block grows with the data or
 with copies of a vector. SHARE is a share of entries, as these vectors have little structure: recall, not speed, sets
 it. Vectors that are null, zero, of another length than most, or that hold null or non-finite components take no part.
-Ties go to the smaller vec_id. Empty tables, or no query, give an empty result.
+Rows with a repeated or null vec_id are entries, and queries, of their own. Ties go to the smaller vec_id. Empty tables, or no query, give an empty result.
 """
 
 from __future__ import annotations
@@ -98,7 +98,10 @@ def nearest(entries: DataFrame, is_query, k: int = 5, share: float = SHARE) -> D
     """entries (vec_id, embedding) -> query_id, rank, vec_id, score for the rows that `is_query` (a Column) picks."""
     spark = entries.sparkSession
     nothing = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    rows = entries.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v"), is_query.alias("q"))
+    rows = entries.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v"), F.coalesce(is_query, F.lit(False)).alias("q"))
+    rows, plain = C.numbered(rows, "vec_id", "v")
+    ids = rows.select("_row", F.col("vec_id").alias("id"))
+    rows = rows.select(F.col("_row").alias("vec_id"), "v", "q")
     sound = F.forall("v", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))) & F.exists("v", lambda c: c != 0)
     rows = rows.where(F.col("v").isNotNull() & sound)
     usual = rows.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
@@ -146,11 +149,11 @@ def nearest(entries: DataFrame, is_query, k: int = 5, share: float = SHARE) -> D
     held = index.select("vec_id", "v", "a", "b").withColumn("salt", F.pmod(F.xxhash64("vec_id"), of)).withColumn("lot", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(lots - 1).cast("long"))))
     asks, held = (x.withColumn("key", F.xxhash64("a", "salt", "lot")) for x in (asks, held))
 
-    found = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
+    hit = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
 
     def rank(left: pa.Table, right: pa.Table) -> pa.Table:
         if not len(left) or not len(right):
-            return found.empty_table()
+            return hit.empty_table()
         width = len(pair[1])
         may = np.unpackbits(np.frombuffer(b"".join(left.column("mask").to_pylist()), np.uint8).reshape(len(left), -1), axis=1)[:, :width].astype(bool)
         right = right.combine_chunks()
@@ -159,11 +162,15 @@ def nearest(entries: DataFrame, is_query, k: int = 5, share: float = SHARE) -> D
         rows = []
         for lo in range(0, len(q), 512):
             rows += best(q_ids[lo : lo + 512], q[lo : lo + 512], may[lo : lo + 512][:, b], ids, x, k)
-        return pa.table([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(found)], schema=found)
+        return pa.table([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(hit)], schema=hit)
 
     hits = asks.groupBy("key").cogroup(held.groupBy("key")).applyInArrow(rank, "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    found = hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    if plain:
+        return found
+    found = found.join(ids, F.col("query_id") == F.col("_row")).select(F.col("id").alias("query_id"), "rank", "vec_id", "score")
+    return found.join(ids, F.col("vec_id") == F.col("_row")).select("query_id", "rank", F.col("id").alias("vec_id"), "score")
 
 
 def op3_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:

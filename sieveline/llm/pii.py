@@ -169,25 +169,29 @@ def disclosing_spans(docs: DataFrame) -> DataFrame:
     return _places(held.select("id", "th", "t"), hits)
 
 
-def spans(docs: DataFrame) -> DataFrame:
-    """docs with spans_<kind> and terms (array<struct<s, e>>); input columns are kept."""
+def _found(docs: DataFrame) -> DataFrame:
+    """row (all columns of docs), t (null: empty), spans_<kind> and terms (array<struct<s, e>>)."""
     terms = C.materialize(disclosing_spans(docs), "terms").select(F.col("id").alias("_id"), F.col("th").alias("_th"), F.col("terms").alias("_terms"))
-    rows = docs.withColumn("_t", F.coalesce(F.col("text").cast("string"), F.lit(""))).withColumn("_h", F.xxhash64("_t"))
-    rows = base_spans(rows, "_t")
-    joined = rows.join(terms, rows["doc_id"].eqNullSafe(terms["_id"]) & (rows["_h"] == terms["_th"]), "left")
-    return joined.withColumn("_terms", F.coalesce("_terms", F.array().cast("array<struct<s:long,e:long>>"))).drop("_id", "_th", "_h")
+    rows = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), docs["doc_id"].alias("id"), F.coalesce(docs["text"].cast("string"), F.lit("")).alias("t"))
+    rows = base_spans(rows.withColumn("th", F.xxhash64("t")), "t")
+    joined = rows.join(terms, F.col("id").eqNullSafe(F.col("_id")) & (F.col("th") == F.col("_th")), "left")
+    return joined.withColumn("terms", F.coalesce("_terms", F.array().cast("array<struct<s:long,e:long>>"))).drop("_id", "_th", "_terms", "id", "th")
+
+
+def spans(docs: DataFrame) -> DataFrame:
+    """doc_id, text, spans_<kind> (array<struct<s, e, m>>) and terms (array<struct<s, e>>) of every row."""
+    return _found(docs).select("row.doc_id", "row.text", *(f"spans_{k}" for k in KINDS), "terms")
 
 
 def sanitize(docs: DataFrame) -> DataFrame:
     """docs with the text's base spans generalised to [EMAIL], [IP], [CARD], [PHONE] and its terms removed.
 
     Where spans overlap, the first by start counts and the rest of the later one goes with it. Null text stays null.
+    Columns of any name pass as they are.
     """
-    found = spans(docs)
     tagged = [F.transform(f"spans_{k}", partial(_tagged, f"[{k.upper()}]")) for k in KINDS]
-    tagged.append(F.transform("_terms", partial(_tagged, "")))
-    every = F.array_sort(F.concat(*tagged))
-    t = F.col("_t")
+    tagged.append(F.transform("terms", partial(_tagged, "")))
+    t = F.col("t")
 
     def step(acc: Column, x: Column) -> Column:
         fresh = x["s"] >= acc["at"]
@@ -195,16 +199,15 @@ def sanitize(docs: DataFrame) -> DataFrame:
         return F.struct(F.greatest(acc["at"], x["e"]).alias("at"), more.alias("out"))
 
     start = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
-    clean = F.aggregate("_every", start, step, lambda acc: F.concat(acc["out"], F.substring(t, acc["at"] + 1, F.length(t))))
-    found = found.withColumn("_every", every)
-    text = F.when(F.size("_every") == 0, F.col("text")).otherwise(clean)
-    out = found.withColumn("text", text)
-    return out.select(*docs.columns)
+    clean = F.aggregate("every", start, step, lambda acc: F.concat(acc["out"], F.substring(t, acc["at"] + 1, F.length(t))))
+    found = _found(docs).withColumn("every", F.array_sort(F.concat(*tagged)))
+    found = found.withColumn("clean", F.when(F.size("every") == 0, F.col("row.text")).otherwise(clean))
+    return found.select(*(F.col("clean").alias(c) if c == "text" else F.col("row").getField(c).alias(c) for c in docs.columns))
 
 
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = spans(C.table(spark, sf_dir, "documents").select("doc_id", "text"))
     base = F.concat(*(written(k, F.col(f"spans_{k}")) for k in KINDS))
-    every = F.concat(base, written("term", F.col("_terms")))
+    every = F.concat(base, written("term", F.col("terms")))
     counts = [F.size(f"spans_{k}").cast("long").alias(f"n_{k}") for k in KINDS]
     return found.select("doc_id", *counts, F.sha2(F.concat_ws(",", base), 256).alias("base_sha256"), F.concat_ws(",", every).alias("spans"))

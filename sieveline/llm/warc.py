@@ -5,15 +5,17 @@ chunked transfer coding, or a revisit (of the page with the largest id among equ
 Blocks of more than SEGMENT characters are cut: the first part carries segment number 1, the others are continuation
 records with the origin's identifier, and the last one the total length. `read` takes archive files of at most
 PER_FILE records, groups segments by origin identifier, orders them by number, verifies count and total length, decodes the
-chunked framing and verifies the digest; a record that fails any of these has an `error` instead of a payload.
+chunked framing and verifies the digest; a record that fails any of these has an `error` instead of a payload. A file
+that breaks off, or holds no records, gives the records before that place and one row of error without identifier.
 
-Null html is an empty payload; repeated rows and page ids are told apart by row. Empty tables give empty results.
+Null html is an empty payload. Repeated and null page ids are told apart by their rank in the order of (page_id, url,
+html). Columns of other names are not read. Empty tables give empty results.
 """
 
 from __future__ import annotations
 
-import gzip
 import hashlib
+import zlib
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -48,12 +50,15 @@ def message(html: Column) -> Column:
 def records(pages: DataFrame) -> DataFrame:
     """One row `value` for each WARC record, without the two line ends that follow it."""
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.regexp_replace(F.coalesce(F.col("url").cast("string"), F.lit("")), r"[\r\n]+", " ").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
-    rows = rows.withColumn("row", F.monotonically_increasing_id()).withColumn("digest", F.sha1(F.encode("html", "UTF-8"))).withColumn("n", _bytes(F.col("html")))
+    rows = C.numbered(rows, "page_id", "url", "html")[0].withColumnRenamed("_row", "row").withColumn("digest", F.sha1(F.encode("html", "UTF-8"))).withColumn("n", _bytes(F.col("html")))
     copies = rows.where(F.col("n") >= LEAST).groupBy("digest", "n").agg(F.max(F.struct("page_id", "row")).alias("origin"), F.count(F.lit(1)).alias("k")).where("k > 1")
     rows = rows.join(copies.select("digest", "n", "origin"), ["digest", "n"], "left")
-    rid = F.concat(F.lit(RECORD), F.col("page_id").cast("string"), F.lit(":"), F.col("row").cast("string"))
-    to = F.concat(F.lit(RECORD), F.col("origin.page_id").cast("string"), F.lit(":"), F.col("origin.row").cast("string"))
-    again = F.col("origin").isNotNull() & (F.col("origin") != F.struct("page_id", "row"))
+
+    def name(page: Column, row: Column) -> Column:
+        return F.concat(F.lit(RECORD), F.coalesce(page.cast("string"), F.lit("")), F.lit(":"), row.cast("string"))
+
+    rid, to = name(F.col("page_id"), F.col("row")), name(F.col("origin.page_id"), F.col("origin.row"))
+    again = F.col("origin").isNotNull() & (F.col("origin.row") != F.col("row"))
     empty = F.lit(f"HTTP/1.1 200 OK{EOL}Content-Type: text/html; charset=utf-8{EOL}{EOL}")
     rows = rows.select("url", "digest", rid.alias("rid"), F.when(again, to).alias("refers"), F.when(again, empty).otherwise(message(F.col("html"))).alias("block"))
     parts = rows.withColumn("total", _bytes(F.col("block"))).withColumn("last", F.ceil(F.length("block") / SEGMENT))
@@ -92,45 +97,65 @@ def write(pages: DataFrame, path: str) -> None:
         records(pages).write.option("lineSep", EOL * 2).option("maxRecordsPerFile", PER_FILE).option("compression", "gzip").text(path)
 
 
+def unpacked(raw: bytes) -> bytes:
+    """What can be read of a gzip file, of any number of members; other files as they are."""
+    if raw[:2] != b"\x1f\x8b":
+        return raw
+    out = []
+    while raw[:2] == b"\x1f\x8b":
+        member = zlib.decompressobj(31)
+        try:
+            out.append(member.decompress(raw))
+        except zlib.error:
+            break
+        raw = member.unused_data
+    return b"".join(out)
+
+
 def parsed(data: bytes) -> Iterator[dict]:
-    """Records of one archive, by their content lengths."""
+    """Records of one archive, by their content lengths; a ValueError where it breaks off."""
     at = 0
     while at < len(data):
-        end = data.index(b"\r\n\r\n", at)
-        version, *lines = data[at:end].decode("utf-8", "replace").split(EOL)
-        if not version.startswith("WARC/"):
-            raise ValueError(f"no record at byte {at}")
+        end = data.find(b"\r\n\r\n", at)
+        version, *lines = data[at : max(end, at)].decode("utf-8", "replace").split(EOL)
         head = {k.lower(): v.strip() for k, _, v in (x.partition(":") for x in lines)}
-        n = int(head["content-length"])
+        size = head.get("content-length", "")
+        if end < 0 or not version.startswith("WARC/") or not size.isdecimal():
+            raise ValueError(f"no record at byte {at}")
+        n = int(size)
         block = data[end + 4 : end + 4 + n]
         if len(block) < n or data[end + 4 + n : end + 8 + n] != b"\r\n\r\n":
             raise ValueError(f"truncated record at byte {at}")
         at = end + 8 + n
         plain = lambda k: head[k].strip("<>") if k in head else None  # noqa: E731, B023
-        whole = lambda k: int(head[k]) if k in head else None  # noqa: E731, B023
-        yield {"type": head["warc-type"], "rid": plain("warc-segment-origin-id") or plain("warc-record-id"), "digest": (head.get("warc-payload-digest") or "").removeprefix("sha1:"), "refers": plain("warc-refers-to"), "number": whole("warc-segment-number"), "total": whole("warc-segment-total-length"), "block": block}
+        whole = lambda k: int(head[k]) if head.get(k, "").isdecimal() else None  # noqa: E731, B023
+        yield {"type": head.get("warc-type"), "rid": plain("warc-segment-origin-id") or plain("warc-record-id"), "digest": (head.get("warc-payload-digest") or "").removeprefix("sha1:"), "refers": plain("warc-refers-to"), "number": whole("warc-segment-number"), "total": whole("warc-segment-total-length"), "block": block}
 
 
-SEGMENTS = pa.schema([("type", pa.string()), ("rid", pa.string()), ("digest", pa.string()), ("refers", pa.string()), ("number", pa.int64()), ("total", pa.int64()), ("block", pa.binary())])
+SEGMENTS = pa.schema([("type", pa.string()), ("rid", pa.string()), ("digest", pa.string()), ("refers", pa.string()), ("number", pa.int64()), ("total", pa.int64()), ("block", pa.binary()), ("broken", pa.string())])
 
 
 def _parse(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for data in batch.column(0):
             rows = []
-            raw = data.as_py()
-            for r in parsed(gzip.decompress(raw) if raw[:2] == b"\x1f\x8b" else raw):
-                rows.append(r)
-                if len(rows) >= 500:
-                    yield from pa.Table.from_pylist(rows, schema=SEGMENTS).to_batches()
-                    rows = []
+            try:
+                for r in parsed(unpacked(data.as_py())):
+                    rows.append(r)
+                    if len(rows) >= 500:
+                        yield from pa.Table.from_pylist(rows, schema=SEGMENTS).to_batches()
+                        rows = []
+            except ValueError as e:
+                rows.append({"broken": str(e)})
             yield from pa.Table.from_pylist(rows, schema=SEGMENTS).to_batches()
 
 
 def dechunked(body: bytes) -> bytes:
     out, at = [], 0
     while True:
-        end = body.index(b"\r\n", at)
+        end = body.find(b"\r\n", at)
+        if end < 0:
+            raise ValueError("broken chunk")
         n = int(body[at:end].split(b";")[0], 16)
         if not n:
             return b"".join(out)
@@ -154,7 +179,10 @@ def _decode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = []
         for r in batch.to_pylist():
-            row = {"rid": r["rid"], "type": r["type"], "refers": r["refers"], "digest": r["digest"], "payload": None, "error": None}
+            row = {"rid": r["rid"], "type": r["type"], "refers": r["refers"], "digest": r["digest"], "payload": None, "error": r["broken"]}
+            if r["broken"]:
+                rows.append(row)
+                continue
             parts = sorted(r["parts"], key=lambda p: p["number"])
             block = b"".join(p["block"] for p in parts)
             try:
@@ -175,11 +203,11 @@ def _decode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def read(spark: SparkSession, path: str) -> DataFrame:
     """rid, type, refers, digest, payload (null for revisits), error of every logical record under `path`."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.txt*").load(path)
-    segments = files.select("content").mapInArrow(_parse, "type string, rid string, digest string, refers string, number long, total long, block binary")
+    segments = files.select("content").mapInArrow(_parse, "type string, rid string, digest string, refers string, number long, total long, block binary, broken string")
     part = F.struct(F.coalesce("number", F.lit(1)).cast("long").alias("number"), "total", "block")
-    one = segments.where("number IS NULL").select("rid", "type", "refers", "digest", F.lit(False).alias("cut"), F.array(part).alias("parts"))
+    one = segments.where("number IS NULL").select("rid", "type", "refers", "digest", F.lit(False).alias("cut"), "broken", F.array(part).alias("parts"))
     first = F.col("type") != "continuation"
-    many = segments.where("number IS NOT NULL").groupBy("rid").agg(*(F.max(F.when(first, F.col(c))).alias(c) for c in ("type", "refers", "digest")), F.lit(True).alias("cut"), F.collect_list(part).alias("parts"))
+    many = segments.where("number IS NOT NULL").groupBy("rid").agg(*(F.max(F.when(first, F.col(c))).alias(c) for c in ("type", "refers", "digest")), F.lit(True).alias("cut"), F.lit(None).cast("string").alias("broken"), F.collect_list(part).alias("parts"))
     return one.unionByName(many).mapInArrow(_decode, "rid string, type string, refers string, digest string, payload binary, error string")
 
 
@@ -189,9 +217,18 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     back = C.materialize(read(spark, path).select("rid", "type", "refers", "digest", "error", F.octet_length("payload").cast("long").alias("n"), F.sha1("payload").alias("sha1")), "records")
 
     def page(x: str) -> Column:
-        return F.element_at(F.split(F.substring(F.col(x), len(RECORD) + 1, 100), ":"), 1).cast("long")
+        return F.element_at(F.split(F.substring(F.col(x), len(RECORD) + 1, 100), ":"), 1).try_cast("long")
 
     wanted = back.where("type = 'revisit'").select(F.col("refers").alias("rid")).distinct()
     origin = back.join(wanted, "rid", "left_semi").select(F.col("rid").alias("to"), F.col("n").alias("n_to"), F.col("sha1").alias("sha1_to"))
     full = back.join(origin, back["refers"] == origin["to"], "left")
     return full.select(page("rid").alias("page_id"), F.coalesce("n", "n_to").alias("payload_bytes"), F.coalesce("sha1", "sha1_to").alias("payload_digest"), F.col("type").alias("record_type"), page("refers").alias("refers_to"), "error")
+
+
+OP7_SQL = """
+WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS n, sha1(coalesce(html, '')) AS s FROM pages),
+last AS (SELECT n, s, max(page_id) AS origin FROM p WHERE n >= 1000 GROUP BY n, s)
+SELECT page_id, CAST(p.n AS BIGINT) AS payload_bytes, p.s AS payload_digest, CASE WHEN origin <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN origin <> page_id THEN origin END AS refers_to, CAST(NULL AS VARCHAR) AS error
+FROM p LEFT JOIN last ON p.n = last.n AND p.s = last.s
+"""

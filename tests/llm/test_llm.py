@@ -166,7 +166,6 @@ def test_packing_is_gapless_and_exact(docs):
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tok.encode_special_tokens = True
     rows = packing.pack(docs).collect()
     lengths = {}
     for r in sorted(rows, key=lambda r: (r.sequence_id, r.offset)):
@@ -231,7 +230,7 @@ def test_terms_are_counted_and_removed_in_the_whole_document(spark):
     assert all(t.startswith(" wrote to [EMAIL] the matter") and t.endswith("\n") for t in named)
     assert {r.doc_id: r.text for r in clean if r.doc_id == 9}[9] == rows[5][1]
     for r in pii.spans(df).collect():
-        assert [r.text[x.s : x.e].lower() for x in r._terms] == (["zorbex", "quixol", "zorbex", "quixol"] if "bob@" in r.text else [])
+        assert [r.text[x.s : x.e].lower() for x in r.terms] == (["zorbex", "quixol", "zorbex", "quixol"] if "bob@" in r.text else [])
 
 
 def test_archives_round_trip(spark):
@@ -266,10 +265,11 @@ def test_exact_groups_and_neighbours(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     got = {r.doc_id: r.class_id for r in exact_digest.groups(df).collect()}
     assert got == {1: 1, 2: 1, 130: 1, 5000: 5000, 5001: 5000, 70000000: -4, -4: -4}
-    order = sorted(rows)
-    after = {r.doc_id: r.after for r in exact_digest.with_next(df).collect()}
-    assert after == {d: order[(i + 1) % len(order)][1] or "" for i, (d, _) in enumerate(order)}
-    assert exact_digest.with_next(df.limit(0)).count() == 0
+    order = [d for d, _ in sorted(rows)]
+    links = exact_digest.neighbours(df.selectExpr("doc_id _row", "length(coalesce(text, '')) n")).collect()
+    assert {r._row: r.before for r in links} == dict(zip(order, [order[-1], *order], strict=False))
+    n = {d: len(t or "") for d, t in rows}
+    assert all(r.half == n[r.before] // 2 for r in links)
 
 
 def test_calls_and_results(spark):
