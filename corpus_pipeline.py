@@ -17,12 +17,14 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """The document of the smallest doc_id of each component, without the near copies left: 5-word similarity 0.8 or more.
 
     Fingerprints at 4 bits see few of the pairs below 0.95, so what they leave is compared by its runs of words.
+    Rows with a repeated or null doc_id are documents of their own, in the order of (doc_id, text).
     """
-    found = simhash.near_duplicates(docs, words=5)
-    keep = found.where("doc_id = component_id").select(F.col("doc_id").alias("_keep")).distinct()
-    kept = common.materialize(docs.join(keep, docs["doc_id"] == keep["_keep"], "left_semi").dropDuplicates(["doc_id"]), "kept")
-    lost = shingles.near_copies(kept, words=5, least=0.8).select(F.col("doc_id").alias("_lost"))
-    return kept.join(lost, kept["doc_id"] == lost["_lost"], "left_anti")
+    rows, _ = common.numbered(docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), docs["doc_id"], docs["text"]), "doc_id", "text")
+    found = simhash.near_duplicates(rows.select(F.col("_row").alias("doc_id"), "text"), words=5)
+    keep = found.where("doc_id = component_id").select(F.col("doc_id").alias("_keep"))
+    kept = common.materialize(rows.join(keep, rows["_row"] == keep["_keep"], "left_semi").select("row", "_row"), "kept")
+    lost = shingles.near_copies(kept.select(F.col("_row").alias("doc_id"), "row.text"), words=5, least=0.8).select(F.col("doc_id").alias("_lost"))
+    return kept.join(lost, kept["_row"] == lost["_lost"], "left_anti").select("row.*")
 
 
 def sanitised(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
