@@ -34,11 +34,19 @@ def fingerprint(canon: Column) -> Column:
     return F.lower(F.concat(*(F.lpad(F.hex(F.xxhash64(F.lit(seed), canon)), 16, "0") for seed in range(4))))
 
 
-def _rows(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(_row, t) and (_row, doc_id): one row for each document, in the order of _row."""
+def _rows(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """(_row, t), one row for each document in the order of _row, and (_row, doc_id); None where _row is the doc_id."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("t"))
     rows, plain = C.numbered(rows, "doc_id", "t")
-    return rows.select("_row", "t"), rows.select("_row", F.col("_row").alias("doc_id") if plain else "doc_id")
+    return rows.select("_row", "t"), None if plain else rows.select("_row", "doc_id")
+
+
+def _named(found: DataFrame, ids: DataFrame | None) -> DataFrame:
+    """found with doc_id and class_id for _row and class_row."""
+    if ids is None:
+        return found.withColumnsRenamed({"_row": "doc_id", "class_row": "class_id"})
+    first = ids.select(F.col("_row").alias("class_row"), F.col("doc_id").alias("class_id"))
+    return found.join(ids, "_row").join(first, "class_row").drop("_row", "class_row")
 
 
 def classes(rows: DataFrame, marks: DataFrame) -> DataFrame:
@@ -62,9 +70,7 @@ def groups(docs: DataFrame) -> DataFrame:
     """doc_id, fingerprint, class_id (doc_id of the first row of the same canonical text), n (rows of the class)."""
     rows, ids = _rows(docs)
     marks = C.materialize(rows.select("_row", fingerprint(canonical(F.col("t"))).alias("fingerprint")), "marks")
-    found = classes(rows, marks).join(marks, "_row").join(ids, "_row")
-    first = ids.select(F.col("_row").alias("class_row"), F.col("doc_id").alias("class_id"))
-    return found.join(first, "class_row").select("doc_id", "fingerprint", "class_id", "n")
+    return _named(classes(rows, marks).join(marks, "_row"), ids).select("doc_id", "fingerprint", "class_id", "n")
 
 
 def neighbours(rows: DataFrame) -> DataFrame:
@@ -103,7 +109,6 @@ def op8_exact_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = C.materialize(found, "digests")
     of = C.materialize(classes(rows, found.select("_row", "fingerprint")).select("_row", "class_row"), "classes")
     after = links.join(of, "_row").select(F.col("before").alias("_row"), F.col("class_row").alias("class_next"))
-    first = ids.select(F.col("_row").alias("class_row"), F.col("doc_id").alias("class_id"))
-    out = found.join(of, "_row").join(after, "_row").join(ids, "_row").join(first, "class_row")
     near = F.when(F.col("class_row") == F.col("class_next"), 1.0).otherwise(0.0)
-    return out.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", near.alias("near_next"), "class_id")
+    out = found.join(of, "_row").join(after, "_row").withColumn("near_next", near)
+    return _named(out, ids).select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "class_id")
