@@ -45,19 +45,24 @@ def budgeted(sizes: DataFrame, name: str, size: str, budget: int, floor: int, ce
     return sizes.select(name, size, F.least(F.least(F.lit(ceil), F.col(size)), F.greatest(F.least(F.lit(floor), F.col(size)), share)).cast("long").alias("share"))
 
 
-def allocate(sizes: list[int], budget: int, floor: int, ceil: int) -> list[int]:
-    """The driver's budget over a few families: proportional shares, then filled by the largest gap or drained by the largest share."""
-    if not sizes:
-        return []
-    low, high = [min(floor, s) for s in sizes], [min(ceil, s) for s in sizes]
-    out = [min(h, max(lo, round(budget * s / (sum(sizes) or 1)))) for s, lo, h in zip(sizes, low, high, strict=True)]
-    while (gap := budget - sum(out)) != 0:
-        step = 1 if gap > 0 else -1
-        able = [i for i in range(len(sizes)) if (out[i] < high[i] if step > 0 else out[i] > low[i])]
-        if not able:
-            return out
-        out[max(able, key=lambda i: (sizes[i] - out[i] if step > 0 else out[i], sizes[i], -i))] += step
-    return out
+def apportioned(sizes: DataFrame, name: str, size: str, budget: int, floor: int, ceil: int) -> DataFrame:
+    """(name, size, share) that meet the budget as far as floors and ceilings let them.
+
+    `budgeted` gives the shares to begin with. Every unit that a family could still take is a row valued by what the
+    family would then still leave out, every unit that it could give back a row valued by its share before; as many of
+    the best units as the budget is off are taken or given. So nothing is looped over: one sort of at most
+    (ceil - floor) rows for each family. Ties go to the larger family, then to the lesser name.
+    """
+    base = budgeted(sizes, name, size, budget, floor, ceil)
+    off = base.agg((F.lit(budget) - F.sum("share")).alias("_off"))  # one row
+    least, most, share = F.least(F.lit(floor), F.col(size)), F.least(F.lit(ceil), F.col(size)), F.col("share")
+    empty = F.array().cast("array<bigint>")
+    take = F.when(most > share, F.sequence(F.col(size) - most + 1, F.col(size) - share)).otherwise(empty)
+    give = F.when(share > least, F.sequence(least + 1, share)).otherwise(empty)
+    units = base.crossJoin(F.broadcast(off)).select(name, size, "_off", F.explode(F.when(F.col("_off") > 0, take).when(F.col("_off") < 0, give)).alias("_unit"))
+    best = units.withColumn("_r", F.row_number().over(Window.partitionBy(F.signum("_off")).orderBy(F.desc("_unit"), F.desc(size), name))).where(F.col("_r") <= F.abs("_off"))
+    moved = best.groupBy(name).agg(F.sum(F.signum("_off")).cast("long").alias("_d"))
+    return base.join(moved, name, "left").select(name, size, (share + F.coalesce("_d", F.lit(0))).alias("share"))
 
 
 def quiet_members(items: DataFrame, folder: str, level: str, decibels: float = 20.0, least: int = 3) -> DataFrame:

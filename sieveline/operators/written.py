@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -9,9 +10,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; a temporary one only where it is unset, as in tests."""
+    """The folder named in spark.checkpoint.dir; where it is unset, a temporary one if all runs in one JVM."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not re.fullmatch(r"local(\[[^-]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         where = tempfile.mkdtemp(prefix="sieveline-")
         spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")
@@ -19,6 +22,9 @@ def shared(spark: SparkSession) -> str:
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """The rows of df, written as Parquet and read again."""
-    path = f"{shared(df.sparkSession)}/sieveline/{uuid.uuid4().hex}/{name}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    top = f"{shared(spark)}/sieveline/{uuid.uuid4().hex}"
+    at = spark._jvm.org.apache.hadoop.fs.Path(top)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)  # goes when the driver's JVM ends
+    df.write.parquet(f"{top}/{name}")
+    return spark.read.schema(df.schema).parquet(f"{top}/{name}")

@@ -6,11 +6,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import names as N
-from ..functions import vectors as V
 from ..operators import copies as C
 from ..operators import diffs as D
 from ..operators import nearness as R
 from ..operators import selection as S
+from ..operators import trees as E
 from ..operators.written import written
 from ..streaming import sessions
 from .registry import Tables, query
@@ -32,10 +32,12 @@ def dup_keeper_rank(t: Tables) -> DataFrame:
     return C.keepers(rows, ["digest"], order).select("doc_id", F.col("place").cast("long").alias("place"))
 
 
-@query("""WITH a AS (SELECT doc_id, source, lang, n_chars, row_number() OVER (PARTITION BY md5(text) ORDER BY doc_id) AS r FROM documents),
-b AS (SELECT doc_id, row_number() OVER (PARTITION BY source, lang, n_chars ORDER BY doc_id) AS q FROM a WHERE r = 1) SELECT doc_id FROM b WHERE q = 1""")
+@query("""WITH a AS (SELECT doc_id, source, n_chars, trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')) AS stem, row_number() OVER (PARTITION BY md5(text) ORDER BY doc_id) AS r FROM documents),
+b AS (SELECT doc_id, row_number() OVER (PARTITION BY source, stem ORDER BY doc_id) AS q FROM a WHERE r = 1) SELECT doc_id FROM b WHERE q = 1""")
 def first_seen_dedup(t: Tables) -> DataFrame:
-    rows = t.documents.select("doc_id", F.md5("text").alias("digest"), F.concat_ws("|", "source", "lang", F.col("n_chars").cast("string")).alias("content"))
+    """Equal bytes, then equal words of one source: the first of each stays."""
+    stem = F.trim(F.regexp_replace(F.lower("text"), "[^a-z0-9]+", " "))
+    rows = t.documents.select("doc_id", F.md5("text").alias("digest"), F.md5(F.concat_ws("|", "source", stem)).alias("content"))
     return C.first_seen(rows, [F.asc("doc_id")], "digest", "content").select("doc_id")
 
 
@@ -59,13 +61,13 @@ def mirror_copies(t: Tables) -> DataFrame:
     return C.mirrored(rows, "digest", F.col("source").isin("src0", "src1")).select("doc_id")
 
 
-BASE = "(SELECT o_orderkey AS k, md5(o_orderstatus || CAST(o_custkey AS VARCHAR)) AS digest FROM orders WHERE o_orderkey % 11 <> 0)"
+BASE = "(SELECT o_orderkey AS k, md5(o_orderstatus || CAST(o_custkey AS VARCHAR)) AS digest FROM orders WHERE o_orderkey % 11 <> 0 OR o_orderkey % 7 = 0)"
 NOW = "(SELECT CASE WHEN o_orderkey % 17 = 0 THEN o_orderkey + 10000000 ELSE o_orderkey END AS k, CASE WHEN o_orderkey % 19 = 0 THEN NULL WHEN o_orderkey % 13 = 0 THEN md5('x') ELSE md5(o_orderstatus || CAST(o_custkey AS VARCHAR)) END AS digest FROM orders WHERE o_orderkey % 7 <> 0)"
 
 
 def two_releases(t: Tables) -> tuple[DataFrame, DataFrame]:
     k, digest = F.col("o_orderkey"), F.md5(F.concat("o_orderstatus", F.col("o_custkey").cast("string")))
-    base = t.orders.where("o_orderkey % 11 <> 0").select(k.alias("k"), digest.alias("digest"))
+    base = t.orders.where("o_orderkey % 11 <> 0 OR o_orderkey % 7 = 0").select(k.alias("k"), digest.alias("digest"))
     now = t.orders.where("o_orderkey % 7 <> 0").select(F.when(k % 17 == 0, k + 10000000).otherwise(k).alias("k"), F.when(k % 19 == 0, None).when(k % 13 == 0, F.md5(F.lit("x"))).otherwise(digest).alias("digest"))
     return base, now
 
@@ -82,13 +84,13 @@ def incremental_sync(t: Tables) -> DataFrame:
     return D.sync_actions(*two_releases(t), "k", "digest", "digest")
 
 
-@query("""WITH o AS (SELECT p_partkey, p_brand AS fam FROM part WHERE p_partkey % 5 <> 0), n AS (SELECT p_partkey, CASE WHEN p_size > 40 THEN p_brand || '-big' WHEN p_size < 5 THEN 'small' ELSE p_brand END AS fam FROM part WHERE p_partkey % 7 <> 0),
+@query("""WITH o AS (SELECT p_partkey, p_brand AS fam FROM part WHERE p_partkey % 5 <> 0 OR p_partkey % 7 = 0), n AS (SELECT p_partkey, CASE WHEN p_size > 40 THEN p_brand || '-big' WHEN p_size < 5 THEN 'small' ELSE p_brand END AS fam FROM part WHERE p_partkey % 7 <> 0),
 sizes AS (SELECT fam, count(*) AS size FROM n GROUP BY fam), x AS (SELECT n.fam, o.fam AS was, count(*) AS c FROM n JOIN o USING (p_partkey) GROUP BY 1, 2),
 best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY fam ORDER BY c DESC, was) AS r FROM x) WHERE r = 1)
 SELECT s.fam, CASE WHEN coalesce(c / size, 0) >= 0.5 THEN was END AS matched, coalesce(CAST(c AS DOUBLE) / size, 0.0) AS overlap, CASE WHEN coalesce(c / size, 0) < 0.5 THEN 'new' WHEN was = s.fam THEN 'same' ELSE 'renamed' END AS status FROM sizes s LEFT JOIN best b ON b.fam = s.fam""")
 def family_overlap_diff(t: Tables) -> DataFrame:
     fam = F.when(F.col("p_size") > 40, F.concat("p_brand", F.lit("-big"))).when(F.col("p_size") < 5, "small").otherwise(F.col("p_brand"))
-    old = t.part.where("p_partkey % 5 <> 0").select("p_partkey", F.col("p_brand").alias("fam"))
+    old = t.part.where("p_partkey % 5 <> 0 OR p_partkey % 7 = 0").select("p_partkey", F.col("p_brand").alias("fam"))
     return D.families(old, t.part.where("p_partkey % 7 <> 0").select("p_partkey", fam.alias("fam")), "fam", "p_partkey")
 
 
@@ -100,13 +102,13 @@ def snapshot_compare(t: Tables) -> DataFrame:
     return D.field_changes(t.part, other, "p_partkey", ["p_brand", "p_size"])
 
 
-@query("""WITH s AS (SELECT user_id, max(event_type) AS v FROM events WHERE event_id % 10 = 0 GROUP BY user_id), f AS (SELECT * FROM events WHERE event_id % 10 <> 0 AND event_type IN ('error', 'purchase', 'view')),
-r AS (SELECT f.user_id, f.event_type AS v, row_number() OVER (PARTITION BY f.user_id ORDER BY CASE WHEN s.v IS NOT DISTINCT FROM f.event_type THEN 1 ELSE 0 END, CASE f.event_type WHEN 'error' THEN 1 WHEN 'purchase' THEN 2 ELSE 3 END, f.ts DESC, f.event_id DESC) AS n FROM f LEFT JOIN s ON s.user_id = f.user_id)
+@query("""WITH s AS (SELECT user_id, max(event_type) AS v FROM events WHERE event_id % 10 = 0 GROUP BY user_id), f AS (SELECT * FROM events WHERE event_id % 10 <> 0),
+r AS (SELECT f.user_id, f.event_type AS v, row_number() OVER (PARTITION BY f.user_id ORDER BY CASE WHEN s.v IS NOT DISTINCT FROM f.event_type THEN 1 ELSE 0 END, CASE f.event_type WHEN 'error' THEN 1 WHEN 'purchase' THEN 2 WHEN 'view' THEN 3 WHEN 'signup' THEN 4 ELSE 5 END, f.ts DESC, f.event_id DESC) AS n FROM f LEFT JOIN s ON s.user_id = f.user_id)
 SELECT coalesce(r.user_id, s.user_id) AS user_id, coalesce(r.v, s.v) AS verdict FROM (SELECT * FROM r WHERE n = 1) r FULL JOIN s ON s.user_id = r.user_id""")
 def rating_merge(t: Tables) -> DataFrame:
     stored = t.events.where("event_id % 10 = 0").groupBy("user_id").agg(F.max("event_type").alias("verdict"))
-    found = t.events.where("event_id % 10 <> 0 AND event_type IN ('error', 'purchase', 'view')").select("user_id", F.col("event_type").alias("verdict"), F.col("ts").alias("at"), F.col("event_id").alias("tie"))
-    return D.merged_ratings(stored, found, "user_id", "verdict", ["error", "purchase", "view"])
+    found = t.events.where("event_id % 10 <> 0").select("user_id", F.col("event_type").alias("verdict"), F.col("ts").alias("at"), F.col("event_id").alias("tie"))
+    return D.merged_ratings(stored, found, "user_id", "verdict", ["error", "purchase", "view", "signup", "click"])
 
 
 @query("""SELECT coalesce(source, 'all') AS source, count(*) AS files, count(quality) AS rated, CAST(sum(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS BIGINT) AS keeps, CAST(sum(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS BIGINT) AS drops,
@@ -200,6 +202,16 @@ def budget_proportional(t: Tables) -> DataFrame:
     return S.budgeted(t.part.groupBy("p_brand").agg(F.count(F.lit(1)).alias("size")), "p_brand", "size", 500, 10, 40)
 
 
+@query("""WITH s AS (SELECT p_brand, count(*) AS size FROM part GROUP BY p_brand), n AS (SELECT sum(size) AS total FROM s),
+b AS (SELECT p_brand, size, CAST(least(least(90, size), greatest(least(5, size), round(600.0 * size / total))) AS BIGINT) AS share FROM s, n), o AS (SELECT 600 - sum(share) AS gap FROM b),
+u AS (SELECT p_brand, size, gap, unnest(CASE WHEN gap > 0 THEN range(size - least(90, size) + 1, size - share + 1) WHEN gap < 0 THEN range(least(5, size) + 1, share + 1) ELSE [] END) AS v FROM b, o),
+k AS (SELECT p_brand, count(*) AS moved FROM (SELECT *, row_number() OVER (ORDER BY v DESC, size DESC, p_brand) AS r FROM u) WHERE r <= abs(gap) GROUP BY p_brand)
+SELECT b.p_brand, size, CAST(share + coalesce(moved * sign(gap), 0) AS BIGINT) AS share FROM b CROSS JOIN o LEFT JOIN k ON k.p_brand = b.p_brand""")
+def budget_met(t: Tables) -> DataFrame:
+    """The budget filled by the largest gaps, or drained from the largest shares."""
+    return S.apportioned(t.part.groupBy("p_brand").agg(F.count(F.lit(1)).alias("size")), "p_brand", "size", 600, 5, 90)
+
+
 @query("""WITH p AS (SELECT label, unnest(embedding::DOUBLE[]) AS x, unnest(range(64)) AS i FROM embeddings), m AS (SELECT label, i, avg(x) AS m, count(*) AS n FROM p GROUP BY 1, 2), s AS (SELECT label, sqrt(sum(m * m)) AS l FROM m GROUP BY label)
 SELECT m.label, n, CAST(i AS INTEGER) AS i, round(m / l, 6) AS x FROM m JOIN s ON s.label = m.label""")
 def centroid_by_label(t: Tables) -> DataFrame:
@@ -229,9 +241,8 @@ def near_dup_keepers(t: Tables) -> DataFrame:
 @query(f"""SELECT a, b, CAST(r AS INTEGER) AS place, round(s, 6) AS score FROM (SELECT a.vec_id AS a, b.vec_id AS b, {LIST_DOT} AS s, row_number() OVER (PARTITION BY a.vec_id ORDER BY {LIST_DOT} DESC, b.vec_id) AS r FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0) WHERE r <= 3""")
 def nearest_k_per_drop(t: Tables) -> DataFrame:
     """The three nearest of the same group for each dropped item."""
-    drops = t.embeddings.where("vec_id % 50 = 0").select(F.col("vec_id").alias("a"), F.col("embedding").alias("va"), "label")
-    near = drops.join(t.embeddings.select(F.col("vec_id").alias("b"), F.col("embedding").alias("vb"), "label"), "label").where("a <> b").withColumn("s", V.dot(F.col("va"), F.col("vb")))
-    return near.withColumn("place", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("s"), "b"))).where("place <= 3").select("a", "b", "place", F.round("s", 6).alias("score"))
+    near = R.nearest_in_group(t.embeddings.where("vec_id % 50 = 0"), t.embeddings, "embedding", "vec_id", "label", 3)
+    return near.select("a", "b", "place", F.round("score", 6).alias("score"))
 
 
 @query("""WITH s AS (SELECT p_brand, split_part(p_brand, '#', 1) AS g, avg(p_size) AS size, avg(p_retailprice) AS price FROM part GROUP BY p_brand)
@@ -244,18 +255,12 @@ def zscore_traits(t: Tables) -> DataFrame:
 @query("""WITH RECURSIVE tree(id, parent, name) AS (SELECT 'r' || r_regionkey, NULL, r_name FROM region UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey, n_name FROM nation UNION ALL SELECT 's' || s_suppkey, 'n' || s_nationkey, s_name FROM supplier),
 w(id, path, depth) AS (SELECT id, name, 1 FROM tree WHERE parent IS NULL UNION ALL SELECT t.id, w.path || '/' || t.name, w.depth + 1 FROM tree t JOIN w ON t.parent = w.id) SELECT id, path, depth FROM w""")
 def tree_paths(t: Tables) -> DataFrame:
-    """Paths by parent pointers: a recursive query over the node table."""
-    for name in ("region", "nation", "supplier"):
-        getattr(t, name).createOrReplaceTempView(f"tree_{name}")
-    return t.spark.sql("""
-        WITH RECURSIVE tree(id, parent, name) AS (
-            SELECT concat('r', r_regionkey), CAST(NULL AS STRING), r_name FROM tree_region
-            UNION ALL SELECT concat('n', n_nationkey), concat('r', n_regionkey), n_name FROM tree_nation
-            UNION ALL SELECT concat('s', s_suppkey), concat('n', s_nationkey), s_name FROM tree_supplier),
-        w(id, path, depth) AS (
-            SELECT id, name, 1 FROM tree WHERE parent IS NULL
-            UNION ALL SELECT t.id, concat(w.path, '/', t.name), w.depth + 1 FROM tree t JOIN w ON t.parent = w.id)
-        SELECT id, path, depth FROM w""")
+    """Paths by parent pointers: three levels of nodes in one table."""
+    node = lambda df, mark, key, up, name: df.select(F.concat(F.lit(mark), key).alias("id"), up.alias("parent"), F.col(name).alias("name"))
+    nodes = node(t.region, "r", "r_regionkey", F.lit(None).cast("string"), "r_name")
+    nodes = nodes.unionByName(node(t.nation, "n", "n_nationkey", F.concat(F.lit("r"), "n_regionkey"), "n_name"))
+    nodes = nodes.unionByName(node(t.supplier, "s", "s_suppkey", F.concat(F.lit("n"), "s_nationkey"), "s_name"))
+    return E.paths(nodes, "id", "parent", "name")
 
 
 @query("""WITH k AS (SELECT p_brand AS full_key, CAST(p_size AS VARCHAR) AS part_key, p_partkey FROM part WHERE p_type LIKE 'PROMO%' AND p_retailprice > 1500),
@@ -337,9 +342,9 @@ def phrase_support(t: Tables) -> DataFrame:
     return counts.withColumn("r", F.row_number().over(Window.partitionBy("source").orderBy(F.desc("n"), "w"))).where("r <= 3").drop("r")
 
 
-@query("SELECT p_partkey, p_name FROM part WHERE p_name ILIKE '%part 1%' OR contains(lower(p_type), 'brass') ORDER BY CASE WHEN p_size < 10 THEN 0 WHEN p_size < 20 THEN 1 ELSE 2 END, p_partkey LIMIT 25")
+@query("SELECT p_partkey, p_name FROM part WHERE p_name ILIKE '%Ring%' OR contains(lower(p_type), 'promo') ORDER BY CASE WHEN p_size < 10 THEN 0 WHEN p_size < 20 THEN 1 ELSE 2 END, p_partkey LIMIT 25")
 def text_search_sorted(t: Tables) -> DataFrame:
-    rows = t.part.where(F.col("p_name").ilike("%part 1%") | F.lower("p_type").contains("brass"))
+    rows = t.part.where(F.col("p_name").ilike("%Ring%") | F.lower("p_type").contains("promo"))
     return rows.orderBy(F.when(F.col("p_size") < 10, 0).when(F.col("p_size") < 20, 1).otherwise(2), "p_partkey").limit(25).select("p_partkey", "p_name")
 
 

@@ -7,6 +7,7 @@ source leaves out files of no bytes, so these are never listed.
 
 from __future__ import annotations
 
+import codecs
 import csv
 import io
 import json
@@ -61,22 +62,17 @@ def parsed(files: DataFrame, parse: Callable[[bytes], list[tuple]], schema: str)
 WAV = "readable boolean, duration_s double, sample_rate int, channels int, bit_depth int, bpm double, beats int, root_note int"
 #: Sane stated tempos (fixed values).
 TEMPO_MIN, TEMPO_MAX = 40.0, 300.0
-MOST_CHUNKS = 64
 
 
 def chunks(data: bytes) -> Iterator[tuple[bytes, memoryview]]:
-    """(id, body) of the first MOST_CHUNKS chunks of a RIFF or RF64 WAVE; a body may be cut short."""
+    """(id, body) of every chunk of a RIFF or RF64 WAVE; the last body may be cut short."""
     if data[:4] not in (b"RIFF", b"RF64") or data[8:12] != b"WAVE":
         return
-    view, at = memoryview(data), 12
-    for _ in range(MOST_CHUNKS):
-        if at + 8 > len(data):
-            return
-        name, size = data[at : at + 4], int.from_bytes(view[at + 4 : at + 8], "little")
-        yield name, view[at + 8 : at + 8 + size]
-        if size == 0xFFFFFFFF:
-            return
-        at += 8 + size + (size & 1)
+    view, at, size = memoryview(data), 12, 0
+    while at + 8 <= len(data) and size != 0xFFFFFFFF:  # that size says: up to the end
+        size = int.from_bytes(view[at + 4 : at + 8], "little")
+        yield bytes(view[at : at + 4]), view[at + 8 : at + 8 + size]
+        at += 8 + size + size % 2
 
 
 def wav(data: bytes) -> dict:
@@ -91,11 +87,11 @@ def wav(data: bytes) -> dict:
             wide = out["channels"] * out["bit_depth"] // 8
             frames = len(body) // wide if wide else 0
             out.update(readable=frames > 0, duration_s=frames / out["sample_rate"], body=body[: frames * wide])
-        elif name == b"acid" and 24 <= len(body) <= 1024:
+        elif name == b"acid" and len(body) >= 24:
             flags, root, _, _, beats, _, _, tempo = struct.unpack("<IHHfIHHf", body[:24])
             if not flags & 1 and TEMPO_MIN <= tempo <= TEMPO_MAX:
                 out["bpm"] = round(tempo, 3)
-            if not flags & 1 and 0 < beats <= 4096:
+            if not flags & 1 and beats:
                 out["beats"] = beats
             if flags & 2 and root <= 127:
                 out["root_note"] = root
@@ -141,48 +137,63 @@ def wav_facts(files: DataFrame) -> DataFrame:
 # --- text files ----------------------------------------------------------------------------------------------------
 
 
+#: Byte order marks and what they announce; files without one are tried as UTF-8, then as what old spreadsheets write.
+MARKS = {codecs.BOM_UTF8: "utf-8-sig", codecs.BOM_UTF16_LE: "utf-16", codecs.BOM_UTF16_BE: "utf-16"}
+UNMARKED = ("utf-8", "cp1252", "latin-1")
+
+
 def decoded(data: bytes) -> str:
-    """Text as spreadsheets save it: UTF-16 by its mark, else UTF-8 (a mark dropped), else Windows-1252, else Latin-1."""
-    for name in ("utf-16",) if data[:2] in (b"\xff\xfe", b"\xfe\xff") else ("utf-8-sig", "cp1252"):
+    """Text by its byte order mark, or in the first of the unmarked encodings that can be read to the end."""
+
+    def fits(name: str) -> bool:
         try:
-            return data.decode(name)
+            data.decode(name)
         except UnicodeDecodeError:
-            continue
-    return data.decode("latin-1")
-
+            return False
+        return True
 
-VERDICTS = ("keep", "drop", "misfiled")
-RATINGS = "line int, target string, verdict string, category string, scope string, problem string"
+    announced = [name for mark, name in MARKS.items() if data.startswith(mark)]
+    return data.decode(next(filter(fits, (*announced, *UNMARKED))))
 
 
-def rating_rows(data: bytes) -> list[tuple]:
-    """One row for each line of a ratings CSV; `problem` says why a line counts for nothing."""
+def csv_cells(data: bytes) -> list[tuple]:
+    """(line, cells by lower-case column name) of the rows of a CSV with a header; line 1 holds the header's own names."""
     rows = csv.reader(io.StringIO(decoded(data), newline=""))
     head = [c.strip().lower() for c in next(rows, [])]
-    at = {name: head.index(name) for name in ("path", "name", "rating", "category", "scope") if name in head}
-    if "rating" not in at or not {"path", "name"} & set(at):
-        return [(1, None, None, None, None, "a path or name column and a rating column are needed")]
-    out = []
-    for r in rows:
-        said = {name: r[i].strip() if i < len(r) else "" for name, i in at.items()}
-        target, verdict, scope = said.get("path") or said.get("name") or "", said["rating"].lower(), said.get("scope", "").lower()
-        if not target and not verdict:
-            continue
-        problem = None
-        if verdict not in VERDICTS:
-            problem = "unknown rating"
-        elif said.get("category") and verdict != "misfiled":
-            problem = "a category goes with misfiled"
-        elif scope not in ("", "file", "set"):
-            problem = "unknown scope"
-        elif scope == "set" and verdict == "keep":
-            problem = "a set can't be kept"
-        out.append((rows.line_num, target, verdict, said.get("category") or None, scope or "file", problem))
-    return out
+    return [(1, {c: None for c in head}), *((rows.line_num, {c: v.strip() for c, v in zip(head, r, strict=False)}) for r in rows)]
+
+
+VERDICTS, SCOPES = ("keep", "drop", "misfiled"), ("file", "set")
 
 
 def ratings(files: DataFrame) -> DataFrame:
-    return parsed(files, rating_rows, RATINGS)
+    """(path, line, target, verdict, category, scope, problem) of ratings in CSV files; `problem` says why a line counts for nothing.
+
+    A file without the columns it needs gives one row, its first line. Lines that name neither an item nor a verdict are left out.
+    """
+    cells = parsed(files, csv_cells, "line int, cells map<string,string>")
+    cell = lambda name: F.nullif(F.element_at("cells", name), F.lit(""))
+    rows = cells.select(
+        "path",
+        "line",
+        F.coalesce(cell("path"), cell("name")).alias("target"),
+        F.lower(cell("rating")).alias("verdict"),
+        cell("category").alias("category"),
+        F.coalesce(F.lower(cell("scope")), F.lit(SCOPES[0])).alias("scope"),
+        F.map_keys("cells").alias("columns"),
+    )
+    usable = F.array_contains("columns", "rating") & F.arrays_overlap("columns", F.array(F.lit("path"), F.lit("name")))
+    wrong = {
+        "no column for the item or for its rating": ~usable,
+        "not a rating": F.col("verdict").isNull() | ~F.col("verdict").isin(*VERDICTS),
+        "only what is misfiled has another category": F.col("category").isNotNull() & (F.col("verdict") != "misfiled"),
+        "neither of a file nor of a set": ~F.col("scope").isin(*SCOPES),
+        "only files are kept": (F.col("scope") == "set") & (F.col("verdict") == "keep"),
+    }
+    problem = F.coalesce(*(F.when(shut, text) for text, shut in wrong.items()))
+    header = F.col("line") == 1
+    said = (header & ~usable) | (~header & usable & (F.col("target").isNotNull() | F.col("verdict").isNotNull()))
+    return rows.where(said).withColumn("problem", problem).drop("columns")
 
 
 def agreed(rows: DataFrame) -> DataFrame:

@@ -3,7 +3,6 @@
 import random
 
 import pytest
-
 from pyspark.sql import functions as F
 
 from sieveline.functions import names as N
@@ -55,10 +54,25 @@ def test_release_plan_on_empty_base(spark):
     assert [tuple(r) for r in diffs.release_plan(base, now, "k", "d").collect()] == [("a", "added")]
 
 
-def test_budget_meets_its_bounds():
-    assert selection.allocate([], 10, 1, 5) == []
-    assert sum(selection.allocate([100, 50, 10], 60, 5, 40)) == 60
-    assert selection.allocate([3, 3], 100, 1, 50) == [3, 3]
+def test_budget_meets_its_bounds(spark):
+    def shares(sizes, budget, floor, ceil):
+        df = spark.createDataFrame(list(enumerate(sizes)), "fam long, n long")
+        return [r.share for r in selection.apportioned(df, "fam", "n", budget, floor, ceil).orderBy("fam").collect()]
+
+    assert shares([], 10, 1, 5) == []
+    assert shares([100, 50, 10], 60, 5, 40) == [36, 19, 5]
+    assert shares([3, 3], 100, 1, 50) == [3, 3]
+    assert shares([100, 100, 1, 1, 1], 4, 1, 50) == [1, 1, 1, 1, 1]
+    assert shares([90, 5, 5], 30, 4, 20) == [20, 5, 5]
+    assert shares([40, 40, 20], 7, 0, 50) == [3, 3, 1]
+    rng = random.Random(3)
+    for _ in range(4):
+        sizes = [rng.randint(1, 60) for _ in range(9)]
+        budget, floor, ceil = rng.randint(5, 150), rng.randint(0, 6), rng.randint(8, 30)
+        low, high = [min(floor, x) for x in sizes], [min(ceil, x) for x in sizes]
+        got = shares(sizes, budget, floor, ceil)
+        assert all(a <= x <= b for a, x, b in zip(low, got, high, strict=True))
+        assert sum(got) == min(max(budget, sum(low)), sum(high))
 
 
 def test_share_cap_leaves_few_groups_and_nulls_alone(spark):
@@ -86,3 +100,41 @@ def test_pruning_of_long_chains_decides_every_row(spark):
     assert got == {i: i % 2 == 0 for i in range(56)}
     with pytest.raises(RuntimeError):
         copies.pruned(nodes, pairs, "id", "r", write, most_rounds=2)
+
+
+def test_pruning_ends_whole_on_long_chains(spark, tmp_path):
+    from sieveline.operators.written import written
+
+    nodes = spark.range(70).withColumnRenamed("id", "k")
+    pairs = spark.range(69).selectExpr("id a", "id + 1 b")
+    got = {r.k: (r.kept, r.partner) for r in copies.pruned(nodes, pairs, "k", "k", lambda df: written(df, "chain").coalesce(2)).collect()}
+    assert got == {k: (k % 2 == 0, None if k % 2 == 0 else k - 1) for k in range(70)}
+
+
+def test_blocks_of_pairs_equal_all_pairs(spark, monkeypatch):
+    import numpy as np
+
+    from sieveline.operators import nearness
+
+    monkeypatch.setattr(nearness, "BLOCK_ROWS", 7)
+    x = np.random.default_rng(2).normal(size=(60, 5))
+    rows = [(i, i % 2, v.tolist()) for i, v in enumerate(x)] + [(90, 0, None), (91, None, x[0].tolist())]
+    df = spark.createDataFrame(rows, "id long, g int, v array<double>")
+    want = {(i, j) for i in range(60) for j in range(i + 1, 60) if i % 2 == j % 2 and x[i] @ x[j] >= 1.5}
+    assert {(r.a, r.b) for r in nearness.close_pairs(df, "v", "id", "g", 1.5).collect()} == want
+    near = nearness.nearest_in_group(df.where("id < 4"), df, "v", "id", "g", 3).collect()
+    for q in range(4):
+        order = sorted((j for j in range(60) if j % 2 == q % 2 and j != q), key=lambda j: -(x[q] @ x[j]))[:3]
+        assert [r.b for r in sorted((r for r in near if r.a == q), key=lambda r: r.place)] == order
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    best = {r.id: r.nearest for r in nearness.nearest_to_set(df.where("id < 60"), df.where("id < 30"), "v", "id").collect()}
+    assert all(abs(best[i] - max(u[i] @ u[j] for j in range(30) if j != i)) < 1e-12 for i in range(60))
+
+
+def test_paths_through_parents(spark):
+    from sieveline.operators import trees
+
+    rows = [("a", None, "A")] + [(f"a{i}", "a" if i == 0 else f"a{i - 1}", str(i)) for i in range(9)] + [("x", "y", "X"), ("y", "x", "Y"), ("z", "y", "Z"), ("o", "gone", "O")]
+    got = {r.id: (r.path, r.depth) for r in trees.paths(spark.createDataFrame(rows, "id string, up string, name string"), "id", "up", "name").collect()}
+    assert got["a8"] == ("A/0/1/2/3/4/5/6/7/8", 10) and got["o"] == ("O", 1) and got["a"] == ("A", 1)
+    assert all(got[k] == (None, None) for k in "xyz")
