@@ -106,3 +106,34 @@ def record_release(path: str, version: str, files: DataFrame) -> None:
 def merged_manifest(stored: DataFrame, built: DataFrame, category: str) -> DataFrame:
     """Entries of rebuilt categories replace the stored ones; other categories stay."""
     return stored.join(built.select(category).distinct(), category, "left_anti").unionByName(built, allowMissingColumns=True)
+
+
+def swapped(spark: SparkSession, next_path: str, path: str, before_path: str) -> None:
+    """Put what lies at next_path in the place of path, whose folder becomes before_path; may be repeated after a crash.
+
+    Every step is one rename, and each looks at what is there, so a run that died half way goes on where it stopped.
+    """
+    at = lambda p: spark._jvm.org.apache.hadoop.fs.Path(p)
+    fs = at(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(at(next_path)):
+        if not fs.exists(at(path)):
+            raise FileNotFoundError(next_path)
+        return
+    if fs.exists(at(path)):
+        fs.delete(at(before_path), True)
+        fs.rename(at(path), at(before_path))
+    fs.rename(at(next_path), at(path))
+
+
+def embedded(texts: DataFrame, path: str, embed: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(digest, text, vector) of the distinct texts, from a table keyed by content that only grows by what it lacks.
+
+    `embed` adds a column `vector` to rows (digest, text); it sees each text once, ever.
+    """
+    spark = texts.sparkSession
+    wanted = texts.where("text IS NOT NULL").select(F.sha2("text", 256).alias("digest"), "text").distinct()
+    fs_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    there = fs_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(fs_path)
+    new = wanted.join(spark.read.parquet(path).select("digest"), "digest", "left_anti") if there else wanted
+    embed(new).select("digest", "text", "vector").write.mode("append").parquet(path)
+    return spark.read.parquet(path).join(wanted.select("digest"), "digest", "left_semi")
