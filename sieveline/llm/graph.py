@@ -37,7 +37,14 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     Nulls and loops are dropped; an empty table gives an empty result. Each round is two partial minima and two
     joins against them, written to the shared folder; no node's neighbours are gathered into one row.
     """
-    now = C.materialize(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
+    spark = edges.sparkSession
+
+    def stored(df: DataFrame) -> tuple[DataFrame, str]:
+        path = C.new_path(spark, "edges")
+        C.write(df, path)
+        return spark.read.schema("u long, v long").parquet(path), path
+
+    now, held = stored(edges.where("a <> b").select(F.greatest("a", "b").cast("long").alias("u"), F.least("a", "b").cast("long").alias("v")).distinct())
     mark = _mark(now)
     for _ in range(most_rounds):
         if not mark[0]:
@@ -50,9 +57,10 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("m")).withColumnRenamed("u", "n")
         joined = large.join(low, F.col("u") == F.col("n"))
         small = joined.select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
-        new = C.materialize(small, "edges")
+        new, path = stored(small)
         seen = _mark(new)
-        now, done, mark = new, seen == mark, seen
+        C.remove(spark, held)  # no later round reads it
+        now, held, done, mark = new, path, seen == mark, seen
         if done:
             break
     else:
