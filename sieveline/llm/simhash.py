@@ -26,7 +26,7 @@ from . import common as C
 from .common import U64
 from .graph import components, local_forest
 
-HALF, PASSES, PER_BUCKET, SLICE = 2, 8, 3_000_000, 1024
+HALF, PASSES, PER_BUCKET, SLICE = 2, 8, 1_000_000, 1024
 MASKS = np.array([sum(1 << i for i in c) for n in range(HALF + 1) for c in combinations(range(64), n)], U64)
 WORDS = 4
 MULTIPLIER = U64(0x9E3779B97F4A7C15)
