@@ -5,19 +5,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranks import ranked
+
 
 def numbered_folders(items: DataFrame, folder: str, order: list[Column], room: int) -> DataFrame:
     """items with `sibling`: the numbered folder (from 1) they go to when each holds `room` items."""
-    place = F.row_number().over(Window.partitionBy(folder).orderBy(*order))
-    return items.withColumn("sibling", (F.floor((place - 1) / room) + 1).cast("int"))
+    rows = ranked(items, folder, order)
+    return rows.select(*items.columns, (F.floor((F.col("_r") - 1) / room) + 1).cast("int").alias("sibling"))
 
 
 def evenly_spread(items: DataFrame, group: str, order: list[Column], cap: int) -> DataFrame:
     """At most `cap` rows a group, evenly spaced along the order; whole groups where they fit, and all rows without a group."""
     whole = items.groupBy(group).agg(F.count(F.lit(1)).alias("_n"))
-    ranked = items.join(whole, group).withColumn("_r", F.row_number().over(Window.partitionBy(group).orderBy(*order)))
+    rows = ranked(items.where(F.col(group).isNotNull()), group, order).join(whole, group)
     step = lambda r: F.floor(r * F.lit(cap) / F.col("_n"))
-    picked = ranked.where((F.col("_n") <= cap) | (step(F.col("_r")) != step(F.col("_r") - 1)))
+    picked = rows.where((F.col("_n") <= cap) | (step(F.col("_r")) != step(F.col("_r") - 1)))
     return picked.select(*items.columns).unionByName(items.where(F.col(group).isNull()))
 
 
@@ -27,8 +29,8 @@ def one_each(items: DataFrame, keys: list[str], best: list[Column], pinned: Colu
     for k in keys:
         free = free | F.col(k).isNull()
     free = F.coalesce(free, F.lit(False))
-    ranked = items.withColumns({"_free": free, "_r": F.row_number().over(Window.partitionBy(*keys).orderBy(*best))})
-    return ranked.where(F.col("_free") | (F.col("_r") == 1)).select(*items.columns)
+    rows = items.withColumns({"_free": free, "_r": F.row_number().over(Window.partitionBy(*keys).orderBy(*best))})
+    return rows.where(F.col("_free") | (F.col("_r") == 1)).select(*items.columns)
 
 
 def quota(items: DataFrame, groups: list[str], order: list[Column], most: Column) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranks import ranked
+
 
 def gated(items: DataFrame, *gates: tuple[str, Column]) -> DataFrame:
     """items with `reason`: the first gate that shuts (a null condition lets pass), null for what is kept."""
@@ -27,13 +29,13 @@ def share_capped(items: DataFrame, group: str, key: str, share: float, least_gro
     over = sizes.crossJoin(F.broadcast(whole)).where(act & (F.col("_g") > target)).select(group, target.alias("_t"))
     marked = items.join(over, group, "left")
     loose = marked.where("_t IS NULL")
-    order = Window.partitionBy(group).orderBy(F.xxhash64(F.lit(seed), key), key)
-    tight = marked.where("_t IS NOT NULL").withColumn("_r", F.row_number().over(order)).where("_r <= _t").drop("_r")
+    tight = ranked(marked.where("_t IS NOT NULL"), group, [F.xxhash64(F.lit(seed), key), F.col(key)]).where("_r <= _t").drop("_r")
     return loose.unionByName(tight).select(*items.columns)
 
 
 def group_capped(items: DataFrame, group: str, cap: int, order: list[Column]) -> DataFrame:
     """At most `cap` rows a group; rows without a group are free."""
+    # a row_number under a constant is a limit by group: each task passes on `cap` rows of a group at most
     some = items.where(F.col(group).isNotNull()).withColumn("_r", F.row_number().over(Window.partitionBy(group).orderBy(*order))).where(F.col("_r") <= cap).drop("_r")
     return items.where(F.col(group).isNull()).unionByName(some)
 

@@ -231,9 +231,13 @@ def near_dup_pairs(t: Tables) -> DataFrame:
     return R.close_pairs(t.embeddings, "embedding", "vec_id", "label", 0.25).withColumn("score", F.round("score", 6))
 
 
-@query()
+@query(f"""WITH RECURSIVE p AS (SELECT a.vec_id AS a, b.vec_id AS b FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id WHERE {LIST_DOT} >= 0.25),
+o AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) AS r, coalesce((SELECT list(a) FROM p WHERE p.b = vec_id), []) AS better FROM embeddings),
+s AS (SELECT CAST(0 AS BIGINT) AS i, CAST([] AS BIGINT[]) AS kept UNION ALL SELECT o.r, CASE WHEN list_has_any(o.better, s.kept) THEN s.kept ELSE list_append(s.kept, o.vec_id) END FROM s JOIN o ON o.r = s.i + 1),
+k AS (SELECT kept FROM s ORDER BY i DESC LIMIT 1)
+SELECT vec_id, list_contains(kept, vec_id) AS kept, CASE WHEN NOT list_contains(kept, vec_id) THEN list_min(list_intersect(better, kept)) END AS partner FROM o, k""")
 def near_dup_keepers(t: Tables) -> DataFrame:
-    """Greedy pruning by rank; a loop in order, which SQL does not express."""
+    """Greedy pruning by rank."""
     pairs = R.close_pairs(t.embeddings, "embedding", "vec_id", "label", 0.25).select("a", "b")
     return C.pruned(t.embeddings.select("vec_id"), pairs, "vec_id", "vec_id", lambda df: written(df, "pruning"))
 
