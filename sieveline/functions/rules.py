@@ -215,3 +215,9 @@ def pitch_verdict(named: Column, vendor: Column, heard: Column, tolerance: float
         .when(agree(vendor, heard), "retune")
         .otherwise("renote")
     )
+
+
+def phrase(is_loop: Column, marked: Column, tonal: Column, drums: Column) -> Column:
+    """Whether a loop is a phrase: its maker marks it as one, or something tells that it is tonal and nothing names drums."""
+    yes = lambda x: F.coalesce(x, F.lit(False))
+    return yes(is_loop) & (yes(marked) | (yes(tonal) & ~yes(drums)))

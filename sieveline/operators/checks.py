@@ -90,3 +90,18 @@ def confusions(rows: DataFrame, a: str, b: str, key: str, n: int) -> DataFrame:
     first = apart.withColumn("_r", F.row_number().over(Window.partitionBy(a, b).orderBy(key))).where(F.col("_r") <= n)
     lists = first.groupBy(a, b).agg(F.concat_ws(",", F.transform(F.array_sort(F.collect_list(key)), lambda x: x.cast("string"))).alias("examples"))
     return counts.join(lists, [a, b])
+
+
+def sound_faults(measured: DataFrame, key: str, silent_db: float = -60.0, hot_db: float = 0.0, tail_s: float = 1.0) -> DataFrame:
+    """The checks of exported sounds (key, level, silence_s, regularity, n_events and root, want_root): unreadable, silent,
+    too hot, long silent tails, and roots that differ from what the name says by over half a semitone, octaves aside."""
+    db = 20 * F.log10(F.greatest(F.col("level"), F.lit(1e-9)))
+    off = F.abs(F.pmod(F.col("root") - F.col("want_root") + 6, F.lit(12)) - 6)
+    what = F.col(key)
+    return verified(
+        check("unreadable", "FAIL", measured.where("level IS NULL"), what),
+        check("silent", "FAIL", measured.where(F.col("level").isNotNull() & (db <= silent_db)), what),
+        check("hot", "WARN", measured.where(F.col("level").isNotNull() & (db > hot_db)), what),
+        check("tail", "WARN", measured.where(F.col("silence_s") > tail_s), what),
+        check("root", "FAIL", measured.where(off > 0.5), what),
+    )

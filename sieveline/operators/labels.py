@@ -60,3 +60,14 @@ def stale(now: DataFrame, stored: DataFrame, key: str, columns: list[str], versi
     both = a.join(b, a[key] == b["_k"], "full_outer")
     action = F.when(F.col(key).isNull(), "delete").when(~F.col("_new").eqNullSafe(F.col("_old")), "relabel")
     return both.select(F.coalesce(key, "_k").alias(key), action.alias("action")).where("action IS NOT NULL")
+
+
+def stood_in(items: DataFrame, tags: DataFrame, words: DataFrame, mapping: DataFrame, key: str) -> DataFrame:
+    """(key, tag, origin): a provider's tags, and, for items it has none of, the tags that words of their path map to.
+
+    tags (key, tag), words (key, word), mapping (word, tag); each pair once.
+    """
+    own = items.select(key).join(tags.select(key, "tag"), key).distinct()
+    bare = items.select(key).join(own.select(key), key, "left_anti")
+    read = bare.join(words.select(key, "word"), key).join(mapping, "word").select(key, "tag").distinct()
+    return own.select(key, "tag", F.lit("provider").alias("origin")).unionByName(read.select(key, "tag", F.lit("words").alias("origin")))

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import rules as R
 from ..functions import vectors as V
+from ..functions.sqlfuncs import register
+from ..operators import labels as L
 from ..operators import routing as G
 from .registry import Tables, query
 
@@ -326,3 +328,29 @@ def review_queue(t: Tables) -> DataFrame:
     toxic = rows.where("toxic = 1").select("doc_id", F.col("n_chars").cast("double").alias("order"))
     poor = rows.where("quality = 0").select("doc_id", (-F.col("n_chars")).cast("double").alias("order"))
     return G.review_queue(rows, "doc_id", "source", "lang", [("toxic", 0.25, toxic), ("poor", 0.15, poor)], 40, 4, 2, 7)
+
+
+@query("""SELECT doc_id, coalesce(n_chars > 300, false) AND (coalesce(contains(text, '@'), false) OR (coalesce(regexp_matches(text, ' (and|of) '), false) AND NOT coalesce(source = 'src2', false))) AS phrase FROM documents""")
+def phrase_test(t: Tables) -> DataFrame:
+    """Loops that are phrases: marked so, or tonal by their words where nothing names drums."""
+    text = F.col("text")
+    return t.documents.select("doc_id", R.phrase(F.col("n_chars") > 300, text.contains("@"), text.rlike(" (and|of) "), F.col("source") == "src2").alias("phrase"))
+
+
+@query("""WITH own AS (SELECT DISTINCT p_partkey, p_type AS tag FROM part WHERE p_type <> 'SMALL'), m AS (SELECT * FROM (VALUES ('red', 'warm'), ('hot', 'warm'), ('blue', 'cold'), ('bolt', 'metal'), ('ring', 'metal')) m(word, tag)),
+w AS (SELECT p_partkey, unnest(string_split(p_name, ' ')) AS word FROM part WHERE p_type = 'SMALL') SELECT p_partkey, tag, 'provider' AS origin FROM own UNION ALL SELECT DISTINCT p_partkey, tag, 'words' FROM w JOIN m USING (word)""")
+def tag_stand_ins(t: Tables) -> DataFrame:
+    """Words of the name stand in for the tags of items that the provider never saw."""
+    tags = t.part.where("p_type <> 'SMALL'").select("p_partkey", F.col("p_type").alias("tag"))
+    words = t.part.select("p_partkey", F.explode(F.split("p_name", " ")).alias("word"))
+    mapping = t.spark.createDataFrame([("red", "warm"), ("hot", "warm"), ("blue", "cold"), ("bolt", "metal"), ("ring", "metal")], "word string, tag string")
+    return L.stood_in(t.part, tags, words, F.broadcast(mapping), "p_partkey")  # a word list
+
+
+@query("""SELECT vec_id, round(sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])), 6) AS norm, round(embedding[1] / sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])), 6) AS first, least(label % 12, 12 - label % 12) AS off FROM embeddings""")
+def sql_functions(t: Tables) -> DataFrame:
+    """The engine's expressions called from SQL."""
+    register(t.spark)
+    t.embeddings.createOrReplaceTempView("sieveline_vectors")
+    axis = "transform(sequence(1, 64), i -> CASE WHEN i = 1 THEN 1D ELSE 0D END)"
+    return t.spark.sql(f"SELECT vec_id, round(vec_norm(CAST(embedding AS ARRAY<DOUBLE>)), 6) AS norm, round(vec_cosine(CAST(embedding AS ARRAY<DOUBLE>), {axis}), 6) AS first, pitch_distance(CAST(label AS INT), 0) AS off FROM sieveline_vectors")

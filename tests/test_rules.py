@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 from sieveline.functions import audio as A
 from sieveline.functions import names as N
 from sieveline.functions import rules as R
+from sieveline.functions import sound as S
 from sieveline.functions import tempo as T
-from sieveline.operators import routing, stored
+from sieveline.operators import checks, ranks, routing, stored
 from sieveline.plans import settings
 
 
@@ -139,3 +140,52 @@ def test_texts_are_embedded_once(spark, tmp_path):
     assert {r.text: r.vector for r in stored.embedded(texts("a", "bb", "a", None), path, embed).collect()} == {"a": [1.0], "bb": [2.0]}
     assert {r.text for r in stored.embedded(texts("bb", "ccc"), path, embed).collect()} == {"bb", "ccc"}
     assert seen == [["a", "bb"], ["ccc"]]
+
+
+def test_spectral_measures():
+    rate = 16000
+    t = np.arange(rate) / rate
+    tone, noise = np.sin(2 * np.pi * 1000 * t), np.random.default_rng(1).normal(size=rate) * 0.2
+    a, b = S.measures(tone, rate), S.measures(noise, rate)
+    assert a["centre_hz"] == pytest.approx(1000, rel=0.05) and a["crossings_hz"] == pytest.approx(2000, rel=0.01) and a["crest"] == pytest.approx(2**0.5, rel=1e-3)
+    assert a["flatness"] < 0.01 < 0.3 < b["flatness"] and a["harmonic"] > 0.9 and a["rolloff_hz"] < 1200 < b["rolloff_hz"] and b["spread_hz"] > 4 * a["spread_hz"]
+    assert len(a["cepstrum"]) == 13 and a["flat_tops"] < 0.01 < S.flat_tops(np.clip(3 * tone, -1, 1))
+    decay = np.r_[np.linspace(0, 1, 160), np.exp(-np.arange(8000) / 800)]
+    assert S.measures(decay, rate)["attack_ms"] == pytest.approx(9, abs=1) and S.measures(decay, rate)["decay_ms"] == pytest.approx(115, abs=3)
+    assert S.measures(np.zeros(100), rate)["centre_hz"] is None and S.measures(np.zeros(0), rate)["peak"] == 0
+
+
+def test_export_steps():
+    rate = 8000
+    sound = np.r_[np.zeros(800), np.sin(np.arange(1600) / 5), np.zeros(4000)]
+    assert 1600 <= len(S.trimmed(sound, rate)) <= 1600 + 2 * 40 + 2 and not len(S.trimmed(np.zeros(10), rate))
+    assert np.abs(S.levelled(0.1 * sound)).max() == pytest.approx(10 ** (-1 / 20)) and not S.levelled(np.zeros(4)).any()
+    assert np.abs(S.limited(3 * sound)).max() <= 0.98 and (S.limited(0.5 * sound) == 0.5 * sound).all()
+    assert len(S.repitched(sound, 12)) == pytest.approx(len(sound) / 2, abs=1) and S.repitched(np.stack((sound, sound), axis=1), -12).shape[1] == 2
+    out = S.exported(np.stack((sound, sound), axis=1) + 0.1, rate)
+    assert out.ndim == 1 and out[0] == 0 and abs(out[-1]) < 1e-9 and np.abs(out).max() <= 0.98
+
+
+def test_sound_faults(spark):
+    rows = [("a", 0.2, 0.0, 60.0, 72.2), ("b", None, None, None, None), ("c", 1e-5, 0.0, None, 60.0), ("d", 0.5, 3.0, 61.0, 60.0)]
+    got = {r.check: (r.status, r.n, r.example) for r in checks.sound_faults(spark.createDataFrame(rows, "k string, level double, silence_s double, root double, want_root double"), "k").collect()}
+    assert got == {"unreadable": ("FAIL", 1, "b"), "silent": ("FAIL", 1, "c"), "hot": ("PASS", 0, None), "tail": ("WARN", 1, "d"), "root": ("FAIL", 1, "d"), "all": ("FAIL", 4, None)}
+
+
+def test_commands_answer(spark, capsys):
+    from sieveline import __main__ as M
+    from sieveline.plans.registry import QUERIES
+
+    assert set(M.COMMANDS.values()) <= set(QUERIES)
+    assert M.main(["releases", "--data", "/root/testdata/sf0.001", "--limit", "2"]) == 0 and "version" in capsys.readouterr().out
+
+
+def test_ranks_by_ranges_equal_row_numbers(spark):
+    rows = [(i, "hot" if i % 3 else None if i % 2 else f"g{i % 5}", (i * 37) % 11) for i in range(300)]
+    df = spark.createDataFrame(rows, "id long, g string, v int")
+    got = {r.id: r.place for r in ranks.ranked(df, "g", [F.desc("v"), F.col("id")], "place").collect()}
+    want = {}
+    for g in {r[1] for r in rows}:
+        for place, r in enumerate(sorted((r for r in rows if r[1] == g), key=lambda r: (-r[2], r[0])), 1):
+            want[r[0]] = place
+    assert got == want
