@@ -267,16 +267,17 @@ def tree_paths(t: Tables) -> DataFrame:
     return E.paths(nodes, "id", "parent", "name")
 
 
-@query("""WITH k AS (SELECT p_brand AS full_key, CAST(p_size AS VARCHAR) AS part_key, p_partkey FROM part WHERE p_type LIKE 'PROMO%' AND p_retailprice > 1500),
-a AS (SELECT full_key, part_key, max(p_partkey) AS m FROM k GROUP BY 1, 2), u AS (SELECT part_key, max(p_partkey) AS m FROM k GROUP BY 1 HAVING count(*) = 1)
-SELECT p.p_partkey, coalesce(a.m, u.m) AS matched, CASE WHEN a.m IS NOT NULL THEN 'exact' WHEN u.m IS NOT NULL THEN 'unambiguous' END AS method FROM part p LEFT JOIN a ON a.full_key = p.p_brand AND a.part_key = CAST(p.p_size AS VARCHAR) LEFT JOIN u ON u.part_key = CAST(p.p_size AS VARCHAR)""")
+@query("""WITH k AS (SELECT p_brand, p_size, p_name, p_partkey FROM part WHERE p_type = 'PROMO'), a AS (SELECT p_brand, p_size, max(p_partkey) AS m FROM k GROUP BY ALL), b AS (SELECT p_brand, p_name, max(p_partkey) AS m FROM k GROUP BY ALL),
+u AS (SELECT p_name, p_size, max(p_partkey) AS m FROM k GROUP BY ALL HAVING count(*) = 1) SELECT p.p_partkey, coalesce(a.m, b.m, u.m) AS matched, CASE WHEN a.m IS NOT NULL THEN 'path' WHEN b.m IS NOT NULL THEN 'folder and name' WHEN u.m IS NOT NULL THEN 'unambiguous' END AS method
+FROM part p LEFT JOIN a ON a.p_brand = p.p_brand AND a.p_size = p.p_size LEFT JOIN b ON b.p_brand = p.p_brand AND b.p_name = p.p_name LEFT JOIN u ON u.p_name = p.p_name AND u.p_size = p.p_size""")
 def cascade_match(t: Tables) -> DataFrame:
-    """The whole key first, then a part of it where that is unambiguous; which one matched."""
-    known = t.part.where("p_type LIKE 'PROMO%' AND p_retailprice > 1500")
-    exact = known.groupBy("p_brand", "p_size").agg(F.max("p_partkey").alias("a"))
-    loose = known.groupBy("p_size").agg(F.max("p_partkey").alias("u"), F.count(F.lit(1)).alias("n")).where("n = 1").drop("n")
-    rows = t.part.select("p_partkey", "p_brand", "p_size").join(exact, ["p_brand", "p_size"], "left").join(loose, "p_size", "left")
-    return rows.select("p_partkey", F.coalesce("a", "u").alias("matched"), F.when(F.col("a").isNotNull(), "exact").when(F.col("u").isNotNull(), "unambiguous").alias("method"))
+    """The whole key first, then folder and name, then what is left of it where that is unambiguous; which one matched."""
+    known = t.part.where("p_type = 'PROMO'")
+    by = lambda name, *keys: known.groupBy(*keys).agg(F.max("p_partkey").alias(name), F.count(F.lit(1)).alias(f"n_{name}"))
+    rows = t.part.select("p_partkey", "p_brand", "p_size", "p_name").join(by("a", "p_brand", "p_size"), ["p_brand", "p_size"], "left").join(by("b", "p_brand", "p_name"), ["p_brand", "p_name"], "left")
+    rows = rows.join(by("u", "p_name", "p_size").where("n_u = 1"), ["p_name", "p_size"], "left")
+    how = F.when(F.col("a").isNotNull(), "path").when(F.col("b").isNotNull(), "folder and name").when(F.col("u").isNotNull(), "unambiguous")
+    return rows.select("p_partkey", F.coalesce("a", "b", "u").alias("matched"), how.alias("method"))
 
 
 @query("""WITH p AS (SELECT quality AS y, (n_chars % 1000) / 1000.0 AS p FROM documents d JOIN labels l ON l.doc_id = d.doc_id), t AS (SELECT unnest([0.25, 0.5, 0.75]) AS threshold)

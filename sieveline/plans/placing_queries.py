@@ -29,10 +29,10 @@ def set_cap_spread(t: Tables) -> DataFrame:
     return P.evenly_spread(t.part.select("p_partkey", "p_brand", "p_size"), "p_brand", [F.col("p_size"), F.col("p_partkey")], 12).select("p_partkey", "p_brand")
 
 
-@query("""SELECT p_partkey FROM (SELECT p_partkey, p_retailprice, row_number() OVER (PARTITION BY p_brand, p_size ORDER BY p_retailprice DESC, p_partkey) AS r FROM part) WHERE r = 1 OR p_retailprice > 1800""")
+@query("""SELECT p_partkey FROM (SELECT p_partkey, p_retailprice, row_number() OVER (PARTITION BY p_brand, p_size ORDER BY p_retailprice DESC, p_partkey) AS r FROM part) WHERE r = 1 OR p_retailprice > 910""")
 def one_per_round_robin(t: Tables) -> DataFrame:
     """The best of each set and number; pinned items all stay."""
-    return P.one_each(t.part, ["p_brand", "p_size"], [F.desc("p_retailprice"), F.col("p_partkey")], F.col("p_retailprice") > 1800).select("p_partkey")
+    return P.one_each(t.part, ["p_brand", "p_size"], [F.desc("p_retailprice"), F.col("p_partkey")], F.col("p_retailprice") > 910).select("p_partkey")
 
 
 @query("""SELECT o_orderkey FROM (SELECT o_orderkey, o_orderpriority, row_number() OVER (PARTITION BY o_custkey, o_orderpriority ORDER BY o_totalprice DESC, o_orderkey) AS r FROM orders) WHERE r <= CASE WHEN o_orderpriority IN ('1-URGENT', '2-HIGH') THEN 2 ELSE 1 END""")
@@ -42,11 +42,11 @@ def kit_pins(t: Tables) -> DataFrame:
     return P.quota(t.orders, ["o_custkey", "o_orderpriority"], [F.desc("o_totalprice"), F.col("o_orderkey")], most).select("o_orderkey")
 
 
-@query("""SELECT p_partkey FROM (SELECT p_partkey, row_number() OVER (PARTITION BY p_brand, p_size % 12 ORDER BY CASE WHEN p_retailprice > 1800 THEN 0 ELSE 1 END, abs((p_size + 6) % 12 - 6), p_partkey) AS r FROM part) WHERE r = 1""")
+@query("""SELECT p_partkey FROM (SELECT p_partkey, row_number() OVER (PARTITION BY p_brand, p_size % 12 ORDER BY CASE WHEN p_retailprice > 910 THEN 0 ELSE 1 END, abs((p_size + 6) % 12 - 6), p_partkey) AS r FROM part) WHERE r = 1""")
 def note_dedup(t: Tables) -> DataFrame:
     """One note of each set and target: a pin first, then the smallest shift."""
     rows = t.part.withColumn("target", F.col("p_size") % 12)
-    order = [F.when(F.col("p_retailprice") > 1800, 0).otherwise(1), F.abs((F.col("p_size") + 6) % 12 - 6), F.col("p_partkey")]
+    order = [F.when(F.col("p_retailprice") > 910, 0).otherwise(1), F.abs((F.col("p_size") + 6) % 12 - 6), F.col("p_partkey")]
     return P.one_each(rows, ["p_brand", "target"], order, F.lit(False)).select("p_partkey")
 
 
