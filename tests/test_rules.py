@@ -7,12 +7,14 @@ import pytest
 from pyspark.sql import functions as F
 
 from sieveline.functions import audio as A
+from sieveline.functions import features as X
 from sieveline.functions import names as N
 from sieveline.functions import rules as R
 from sieveline.functions import sound as S
 from sieveline.functions import tempo as T
 from sieveline.operators import checks, ranks, routing, stored
 from sieveline.plans import settings
+from sieveline.streaming import sessions
 
 
 def column(spark, values, f):
@@ -189,3 +191,30 @@ def test_ranks_by_ranges_equal_row_numbers(spark):
         for place, r in enumerate(sorted((r for r in rows if r[1] == g), key=lambda r: (-r[2], r[0])), 1):
             want[r[0]] = place
     assert got == want
+
+
+def test_tempos_notes_and_round_robins_in_names(spark):
+    assert column(spark, ["Loop 120bpm", "x 49 BPM", "a 250 bpm", "128 Bpm mix", "bpm", None], T.named_bpm) == [120, None, 250, 128, None, None]
+    assert column(spark, ["Bass C3", "Lead_F#2.wav", "Pad Bb-1", "Kick", "C3 E3", "a4", None], N.note_of) == [60, 54, 22, None, None, 81, None]
+    assert [(g.key, g.number) for g in column(spark, ["Tom_RR3", "tom rr12", "Tom"], N.round_robin)] == [("tom", 3), ("tom", 12), ("tom", None)]
+
+
+def test_reliable_tempos_and_loop_shares(spark):
+    rows = spark.createDataFrame([(120.0, 0.7, ["Loop"], [0.9, 0.2]), (120.0, None, ["OneShot"], [0.9, 0.2]), (None, 0.9, [], [0.1, 0.4]), (90.0, 0.6, ["Loop"], [0.5])], "b double, c double, k array<string>, s array<double>")
+    got = rows.select(X.reliable_tempo(F.col("b"), F.col("c")).alias("r"), X.loop_confidence(F.col("k"), F.col("s")).alias("l")).collect()
+    assert [(g.r, g.l) for g in got] == [(True, 0.9), (False, 0.2), (False, 0.4), (False, None)]
+
+
+def test_streamed_sessions_equal_batch_sessions(spark, tmp_path):
+    rows = [(i, u, f"2024-01-01 00:{m:02d}:00") for i, (u, m) in enumerate([(1, 0), (1, 4), (1, 20), (2, 1), (2, 2), (1, 21), (2, 50)])] + [(99, 3, "2024-01-02 00:00:00")]
+    batch = spark.createDataFrame(rows, "event_id long, user long, at string").withColumn("ts", F.to_timestamp("at")).drop("at")
+    batch.write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(batch.schema).parquet(str(tmp_path / "in"))
+    found = sessions.streamed_sessions(stream, "user", "ts", "10 minutes", "1 minute")
+    run = found.writeStream.format("memory").queryName("streamed").outputMode("append").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
+    run.awaitTermination(120)
+    got = {(r.user, str(r.starts), r.n) for r in spark.table("streamed").collect()}
+    want = {(r.user, str(r.starts), r.n) for r in sessions.gap_sessions(batch.where("user < 3"), "user", "ts", 600).collect()}
+    assert got == want and len(want) == 4
+    both = sessions.upserted(batch.select("event_id", "ts"), batch.where("event_id = 1").select("event_id", F.expr("ts + INTERVAL 1 DAY").alias("ts")), "event_id", "ts")
+    assert both.count() == 8 and str(both.where("event_id = 1").first().ts) == "2024-01-02 00:04:00"
