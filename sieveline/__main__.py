@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import argparse
 
-from .plans import catalog_queries, checking_queries, curation_queries, ingest_queries, placing_queries, registry, release_queries, routing_queries  # noqa: F401  (all register)
+from .plans import catalog_queries, checking_queries, curation_queries, further_queries, ingest_queries, placing_queries, registry, release_queries, routing_queries  # noqa: F401  (all register)
 
 #: What a command does, by the query that answers it.
 COMMANDS = {

@@ -74,3 +74,17 @@ def pitch_distance(a: Column, b: Column) -> Column:
 def retune_shift(note: Column, target: int = 0) -> Column:
     """The shortest way from a note to the target's pitch class: -6 to 5 semitones."""
     return F.pmod(F.lit(target) - note + 6, F.lit(12)) - 6
+
+
+def length_tempo(duration: Column, low: float = 60.0, high: float = 200.0, middle: float = 120.0) -> Column:
+    """The tempo at which a duration is whole bars that lies nearest to the middle (in octaves), within the limits."""
+    able = F.filter(F.array(*(F.struct(F.abs(F.log2(240.0 * b / duration / middle)).alias("off"), (240.0 * b / duration).alias("bpm")) for b in BARS)), lambda x: x["bpm"].between(low, high))
+    return F.when(duration > 0, F.array_min(able)["bpm"])
+
+
+def tempo_with_fallbacks(duration: Column, sources: list[tuple[str, Column]], fallbacks: list[tuple[str, Column]]) -> Column:
+    """struct(bpm, src): the chain's answer, else the first fallback there is, as it stands, else the length's own tempo."""
+    found = tempo_chain(duration, *sources)
+    late = [F.when(bpm.isNotNull(), F.struct(bpm.cast("double").alias("bpm"), F.lit(name).alias("src"))) for name, bpm in fallbacks]
+    own = length_tempo(duration)
+    return F.coalesce(found, *late, F.when(own.isNotNull(), F.struct(own.alias("bpm"), F.lit("length").alias("src"))))

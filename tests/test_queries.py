@@ -6,7 +6,7 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from sieveline.plans import catalog_queries, checking_queries, curation_queries, ingest_queries, placing_queries, release_queries, routing_queries  # noqa: F401
+from sieveline.plans import catalog_queries, checking_queries, curation_queries, further_queries, ingest_queries, placing_queries, release_queries, routing_queries  # noqa: F401
 from sieveline.plans.registry import ORACLES, QUERIES
 
 DATA = Path("/root/testdata/sf0.001")

@@ -218,3 +218,18 @@ def test_streamed_sessions_equal_batch_sessions(spark, tmp_path):
     assert got == want and len(want) == 4
     both = sessions.upserted(batch.select("event_id", "ts"), batch.where("event_id = 1").select("event_id", F.expr("ts + INTERVAL 1 DAY").alias("ts")), "event_id", "ts")
     assert both.count() == 8 and str(both.where("event_id = 1").first().ts) == "2024-01-02 00:04:00"
+
+
+def test_seams():
+    rate = 8000
+    wave = np.sin(2 * np.pi * 100 * np.arange(8000) / rate)
+    assert A.seam(wave, 8000, rate) == pytest.approx(1.0, abs=0.01) and A.seam(np.r_[wave[:4000], 0.1 * wave[:4020]], 8020, rate) < 0.2
+    assert A.seam(wave, 10, rate) == 0 and A.seam(np.zeros(8000), 8000, rate) == 0
+
+
+def test_chains_of_keepers_end(spark):
+    from sieveline.operators import trees
+
+    rows = [("a", None), ("b", "a"), ("c", "b"), ("d", "c"), ("e", "d"), ("s", "s"), ("x", "y"), ("y", "x"), ("o", "gone")]
+    got = {r.k: (r.root, r.steps) for r in trees.roots(spark.createDataFrame(rows, "k string, up string"), "k", "up").collect()}
+    assert got == {"a": ("a", 0), "b": ("a", 1), "c": ("a", 2), "d": ("a", 3), "e": ("a", 4), "s": ("s", 0), "x": (None, None), "y": (None, None), "o": ("o", 0)}
