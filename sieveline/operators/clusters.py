@@ -6,6 +6,7 @@ partition. Rows with a null vector take no part.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable
 
 import numpy as np
@@ -14,6 +15,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .nearness import centroids
+from .written import written
+
 #: k-means++ starts from at most this many rows (the least hashes of the key); all rows are then assigned and averaged.
 START_ROWS = 4096
 #: Of so many starts the one of least inertia counts. Iterations that have not settled after MOST_ROUNDS are an error.
@@ -168,18 +172,32 @@ def picked(items: DataFrame, group: str, key: str, cost: Column, incumbent: Colu
     return items.withColumn("place", F.row_number().over(order)).where(F.col("place") <= want)
 
 
-def thin_bands(bands: list[tuple[int, int, float]], least: int) -> dict[int, int]:
-    """Band -> the band it joins, for (band, rows, median) of a few bands: thin ones go to the neighbour whose median is nearer."""
-    alive = [[b, n, m, [b]] for b, n, m in sorted(bands)]
-    while len(alive) > 1 and min(a[1] for a in alive) < least:
-        i = min(range(len(alive)), key=lambda j: (alive[j][1], j))
-        beside = [j for j in (i - 1, i + 1) if 0 <= j < len(alive)]
-        j = min(beside, key=lambda j: (abs(alive[j][2] - alive[i][2]), j))
-        a, b = alive[j], alive[i]
-        a[2] = (a[2] * a[1] + b[2] * b[1]) / max(1, a[1] + b[1])
-        a[1], a[3] = a[1] + b[1], a[3] + b[3]
-        alive.pop(i)
-    return {b: a[0] for a in alive for b in a[3]}
+def _middle(counts: Counter) -> float:
+    """The median of counted values."""
+    values = sorted(counts)
+    ends = np.cumsum([counts[v] for v in values])
+    low, high = (values[int(np.searchsorted(ends, k, "right"))] for k in ((ends[-1] - 1) // 2, ends[-1] // 2))
+    return (low + high) / 2
+
+
+def thin_bands(bands: dict[int, dict[float, int]], least: int) -> dict[int, int]:
+    """Band -> the first band of its group: thin ones join the neighbour whose median is nearer, then the smaller one.
+
+    Of each band its values and how often they occur, from an aggregation over rounded tempos, so that a merged band has
+    its true median. Bands without rows are in no group.
+    """
+    groups = [([band], Counter(counts)) for band, counts in sorted(bands.items()) if sum(counts.values())]
+    while len(groups) > 1:
+        size = [c.total() for _, c in groups]
+        thin = int(np.argmin(size))
+        if size[thin] >= least:
+            break
+        middle = _middle(groups[thin][1])
+        beside = [i for i in (thin - 1, thin + 1) if 0 <= i < len(groups)]
+        to = min(beside, key=lambda i: (abs(_middle(groups[i][1]) - middle), size[i], i))
+        first = min(thin, to)
+        groups[first : first + 2] = [(groups[first][0] + groups[first + 1][0], groups[first][1] + groups[first + 1][1])]
+    return {band: names[0] for names, _ in groups for band in names}
 
 
 def named(scores: list[dict[str, float]], strong: float = 1.5, weak: float = 0.75, before: dict[int, str] | None = None) -> list[str]:
@@ -286,3 +304,38 @@ def classified(items: DataFrame, vector: str, key: str, model: Softmax) -> DataF
 
     schema = T.StructType([items.schema[key], T.StructField("label", T.LongType()), T.StructField("probability", T.DoubleType())])
     return _rows(items, vector, key).mapInArrow(work, schema)
+
+
+def split_capped(groups: list[tuple[str, int, np.ndarray]], ceil: int) -> dict[str, int]:
+    """How many parts each family is cut into, of (name, size, spread of its members) rows of a cluster table.
+
+    A family over its ceiling is cut into as many parts as its members fill; the one whose members lie widest (spread
+    times size) is served first, and a family of copies (no spread) is never cut, as its parts would be the same.
+    """
+    order = sorted(groups, key=lambda g: (-float(np.sum(g[2])) * g[1], g[0]))
+    return {name: max(1, -(-size // ceil)) if size > ceil and float(np.sum(spread)) > 0 else 1 for name, size, spread in order}
+
+
+def spread_capped(items: DataFrame, vector: str, group: str, key: str, cap: int) -> DataFrame:
+    """At most `cap` rows a group that lie far apart: the row nearest to the group's mean, then again and again the one
+    farthest from all that were taken (ties to the lesser key). Rows without a group are free.
+
+    Every round is a pass over the rows with a group: a partial maximum for each group, joined back; no group meets in
+    one task, and `cap` rounds do. Groups of at most `cap` rows stay whole.
+    """
+    rows = items.where(F.col(group).isNotNull() & F.col(vector).isNotNull())
+    sizes = rows.groupBy(group).agg(F.count(F.lit(1)).alias("_n"))
+    small = rows.join(sizes.where(F.col("_n") <= cap), group, "left_semi").select(key)
+    large = written(rows.join(sizes.where(F.col("_n") > cap), group, "left_semi").select(F.col(group).alias("g"), F.col(key).alias("k"), F.col(vector).cast("array<double>").alias("v")), "spread")
+    middle = centroids(large, "v", "g").select("g", F.col("centroid").alias("c"))
+    far = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x)
+    first = large.join(middle, "g").groupBy("g").agg(F.min_by(F.struct("k", "v"), F.struct(far(F.col("v"), F.col("c")).alias("d"), "k")).alias("t"))
+    first = written(first, "taken")
+    taken = first.select("t.k")
+    left = large.withColumn("near", F.lit(float("inf")))
+    for _ in range(cap - 1):
+        left = written(left.join(first, "g").select("g", "k", "v", F.least("near", far(F.col("v"), F.col("t.v"))).alias("near")), "spread")
+        first = written(left.groupBy("g").agg(F.min_by(F.struct("k", "v"), F.struct((-F.col("near")).alias("d"), "k")).alias("t")), "taken")
+        taken = taken.unionByName(first.select("t.k"))
+    chosen = small.select(F.col(key).alias("_k")).unionByName(taken.select(F.col("k").alias("_k"))).distinct()
+    return items.where(F.col(group).isNull()).unionByName(items.where(F.col(group).isNotNull()).join(chosen, F.col(key) == F.col("_k"), "left_semi"))

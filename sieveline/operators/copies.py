@@ -60,3 +60,20 @@ def pruned(nodes: DataFrame, pairs: DataFrame, key: str, rank: str, write, most_
         state = write(state.join(told, "k", "left").select("k", F.coalesce("kept", F.when(F.col("beaten"), False).when(~F.coalesce("open", F.lit(False)), True)).alias("kept")))
     best = down.join(state.where("kept").select(F.col("k").alias("better")), "better").groupBy(F.col("worse").alias("k")).agg(F.min_by("better", "r").alias("partner"))
     return state.join(best, "k", "left").select(F.col("k").alias(key), "kept", F.when(~F.col("kept"), F.col("partner")).alias("partner"))
+
+
+def refilled(state: DataFrame, scores: DataFrame, key: str, floor: int) -> DataFrame:
+    """state of `pruned` with `back`: while fewer than `floor` are kept, the dropped ones least like what is kept return.
+
+    scores (a, b, score): the pairs that were pruned by. A dropped row is as like as its best score to a kept one.
+    Only `floor` rows of the dropped ever meet in one sort.
+    """
+    kept = state.where("kept").select(F.col(key).alias("_k"))
+    both = scores.select(F.col("a").alias("_d"), F.col("b").alias("_k"), "score").unionByName(scores.select(F.col("b").alias("_d"), F.col("a").alias("_k"), "score"))
+    like = both.join(kept, "_k").groupBy("_d").agg(F.max("score").alias("_like"))
+    have = kept.agg(F.count(F.lit(1)).alias("_n"))
+    out = state.where("NOT kept").join(like, F.col(key) == F.col("_d"), "left").select(key, "_like")
+    first = out.orderBy(F.asc_nulls_first("_like"), key).limit(floor)
+    place = F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(F.asc_nulls_first("_like"), key))
+    back = first.withColumn("_r", place).crossJoin(F.broadcast(have)).where(F.col("_r") <= floor - F.col("_n")).select(key, F.lit(True).alias("back"))  # one row
+    return state.join(back, key, "left").withColumn("back", F.coalesce("back", F.lit(False)))

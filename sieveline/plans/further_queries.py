@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 
 from ..functions import tempo as T
 from ..functions import vectors as V
+from ..operators import copies as C
 from ..operators import diffs as D
 from ..operators import nearness as R
 from ..operators import trees as E
 from ..operators.ranks import ranked
+from ..operators.written import written
 from .curation_queries import two_releases
 from .registry import Tables, query
 from .routing_queries import ANCHORS, PATH_SQL, anchors, path_of
@@ -129,3 +131,18 @@ def stem_map(t: Tables) -> DataFrame:
     path = path_of(F.col("url"))
     rows = t.pages.select(path.alias("path"), F.regexp_extract(path, "([^/]+)/*$", 1).alias("stem"))
     return rows.groupBy("stem").agg(F.count(F.lit(1)).alias("n"), F.min("path").alias("path")).where("n = 1").select("stem", "path")
+
+
+KEPT_SQL = """p AS (SELECT a.vec_id AS a, b.vec_id AS b, list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS s FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id WHERE list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) >= 0.25),
+o AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) AS r, coalesce((SELECT list(a) FROM p WHERE p.b = vec_id), []) AS better FROM embeddings),
+s AS (SELECT CAST(0 AS BIGINT) AS i, CAST([] AS BIGINT[]) AS kept UNION ALL SELECT o.r, CASE WHEN list_has_any(o.better, s.kept) THEN s.kept ELSE list_append(s.kept, o.vec_id) END FROM s JOIN o ON o.r = s.i + 1),
+k AS (SELECT unnest(kept) AS id FROM (SELECT kept FROM s ORDER BY i DESC LIMIT 1))"""
+
+
+@query(f"""WITH RECURSIVE {KEPT_SQL}, x AS (SELECT a AS d, b AS q, s FROM p UNION ALL SELECT b, a, s FROM p), l AS (SELECT d, max(s) AS near FROM x JOIN k ON k.id = q WHERE d NOT IN (SELECT id FROM k) GROUP BY d),
+f AS (SELECT d, row_number() OVER (ORDER BY near, d) AS r FROM l) SELECT vec_id, vec_id IN (SELECT id FROM k) AS kept, coalesce(r <= (SELECT count(*) * 9 // 10 FROM embeddings) - (SELECT count(*) FROM k), false) AS back FROM embeddings LEFT JOIN f ON d = vec_id""")
+def pruned_to_floor(t: Tables) -> DataFrame:
+    """Near copies pruned, and the least alike back until nine tenths of all are kept."""
+    pairs = R.close_pairs(t.embeddings, "embedding", "vec_id", "label", 0.25)
+    state = C.pruned(t.embeddings.select("vec_id"), pairs.select("a", "b"), "vec_id", "vec_id", lambda df: written(df, "pruning"))
+    return C.refilled(state, pairs, "vec_id", t.embeddings.count() * 9 // 10).select("vec_id", "kept", "back")

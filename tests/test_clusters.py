@@ -47,9 +47,13 @@ def test_near_centres_merge_through_each_other():
 
 
 def test_thin_bands_join_the_nearer_neighbour():
-    assert C.thin_bands([(0, 100, 80.0), (1, 3, 95.0), (2, 50, 120.0)], 10) == {0: 0, 1: 0, 2: 2}
-    assert C.thin_bands([(0, 1, 80.0), (1, 2, 100.0)], 10) == {0: 1, 1: 1}
-    assert C.thin_bands([], 10) == {}
+    assert C.thin_bands({0: {80.0: 100}, 1: {95.0: 3}, 2: {120.0: 50}}, 10) == {0: 0, 1: 0, 2: 2}
+    assert C.thin_bands({0: {80.0: 1}, 1: {100.0: 2}}, 10) == {0: 0, 1: 0}
+    assert C.thin_bands({0: {80.0: 40}, 1: {100.0: 3}, 2: {120.0: 20}, 3: {}}, 10) == {0: 0, 1: 1, 2: 1}  # a tie goes to the smaller
+    assert C.thin_bands({0: {80.0: 4, 81.0: 5}, 1: {140.0: 2}, 2: {150.0: 12}, 3: {160.0: 3}}, 5) == {0: 0, 1: 1, 2: 1, 3: 1}
+    # 100 joins 90 (a tie, and the smaller); their median is 90, not a mean of medians, so 96 would go there
+    assert C.thin_bands({0: {90.0: 8}, 1: {100.0: 2}, 2: {110.0: 9}, 3: {200.0: 20}}, 5) == {0: 0, 1: 0, 2: 2, 3: 3}
+    assert C.thin_bands({}, 10) == {}
 
 
 def test_names_are_exclusive_and_stick():
@@ -81,3 +85,16 @@ def test_centres_of_many_rows_settle(spark):
     assert np.allclose([x[at == i].mean(axis=0) for i in range(8)], centres, atol=1e-8)
     early = C.kmeans(df, "v", "id", 8, rounds=10)
     assert not np.allclose(early, C.kmeans(df, "v", "id", 8, start=early, rounds=1), atol=1e-8)
+
+
+def test_caps_by_spread_and_splits(spark):
+    x = [[0.0, 0.0], [0.1, 0.0], [5.0, 0.0], [5.1, 0.0], [0.0, 7.0], [2.0, 2.0]]
+    rows = [(i, "a", v) for i, v in enumerate(x)] + [(10, "b", [1.0, 1.0]), (11, None, [1.0, 1.0]), (12, "b", [9.0, 1.0])]
+    df = spark.createDataFrame(rows, "id long, g string, v array<double>")
+    got = {r.id for r in C.spread_capped(df, "v", "g", "id", 3).collect()}
+    middle = np.mean(x, axis=0) / np.linalg.norm(np.mean(x, axis=0))
+    taken = [min(range(6), key=lambda i: (np.linalg.norm(x[i] - middle), i))]
+    while len(taken) < 3:
+        taken.append(max((i for i in range(6) if i not in taken), key=lambda i: (min(np.linalg.norm(np.subtract(x[i], x[j])) for j in taken), -i)))
+    assert got == {*taken, 10, 11, 12}
+    assert C.split_capped([("a", 100, np.array([1.0])), ("b", 100, np.zeros(1)), ("c", 10, np.ones(1))], 40) == {"a": 3, "b": 1, "c": 1}
