@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -83,19 +85,51 @@ def layout(paths: DataFrame, path: str, types: str, flat_share: float = 0.5, typ
     return found.select("layout", F.when(F.col("layout") == "umbrella", F.col("names")).otherwise(F.array().cast("array<string>")).alias("umbrellas"), "files")
 
 
+#: Rows of a side that meet in one task at most, where more share a key.
+BLOCK_ROWS = 4096
+
+
+def _met(left: DataFrame, right: DataFrame, key: str, on: list[str], own: str) -> DataFrame:
+    """left (x) and right (y) joined by `on`; `own` tells the rows of right that are those of left.
+
+    Where over BLOCK_ROWS rows share the columns, their `key` deals them to a grid of blocks: a row stands in one line
+    of the grid, so every two still meet once. Few can have so many rows; their sizes are broadcast. The join sorts,
+    as a broadcast of a small file would leave all pairs to the few tasks that read it.
+    """
+    blocks = lambda n: F.ceil(n / BLOCK_ROWS).cast("int")
+    hot = right.groupBy(*on).agg(blocks(F.count_if(F.expr(own))).alias("_xs"), blocks(F.count(F.lit(1))).alias("_ys")).where("_ys > 1")
+
+    def dealt(side: DataFrame, mine: str, other: str) -> DataFrame:
+        lines = lambda n: F.greatest(F.coalesce(n, F.lit(1)), F.lit(1))
+        out = side.join(F.broadcast(hot), on, "left").withColumn(mine, F.pmod(F.xxhash64(key), lines(f"{mine}s")).cast("int"))
+        return out.withColumn(other, F.explode(F.sequence(F.lit(0), lines(f"{other}s") - 1))).drop("_xs", "_ys")
+
+    return dealt(left, "_x", "_y").alias("x").hint("merge").join(dealt(right, "_y", "_x").alias("y"), [*on, "_x", "_y"])
+
+
 def edition_pairs(items: DataFrame, key: str, vendor: str, pack: str, folder: str, name: str, seconds: str, tolerance: float = 0.05) -> DataFrame:
     """(a, b) of items that are one recording twice: one distinctive name of one vendor, lengths alike where both are known.
 
-    In one pack the folders must be the same too; across packs the name needs two words. Names meet by an equi-join.
+    In one pack the folders must be the same too; across packs the name needs two words. Names meet by an equi-join,
+    those of one word with their folder, and lengths by steps: on a logarithmic scale a step is a little wider than the
+    tolerance, so lengths that are alike lie in one step or in two that adjoin. Unknown lengths meet all others.
     """
     tell = items.where(F.col(name).rlike("[0-9]") | (F.size(F.split(name, " ")) >= 2))
-    side = lambda x: tell.select(F.col(key).alias(x), vendor, name, *(F.col(c).alias(f"{c}_{x}") for c in (pack, folder, seconds)))
-    pairs = side("a").join(side("b"), [vendor, name]).where("a < b")
-    long = F.greatest(f"{seconds}_a", f"{seconds}_b")
-    alike = F.coalesce(F.abs(F.col(f"{seconds}_a") - F.col(f"{seconds}_b")) <= tolerance * long, F.lit(True))
-    same = F.col(f"{pack}_a") == F.col(f"{pack}_b")
     words = F.size(F.filter(F.split(name, " "), lambda w: ~w.rlike("^[0-9]+$")))
-    return pairs.where(alike & F.when(same, F.col(f"{folder}_a") == F.col(f"{folder}_b")).otherwise(words >= 2)).select("a", "b")
+    long, step = F.col(seconds).cast("double"), F.lit(0).cast("long")  # one step for all, if the tolerance is no share
+    if 0 <= tolerance <= 0.9:
+        step = F.floor(F.log(F.greatest(long, F.lit(1e-300))) / (1.001 * max(-math.log1p(-tolerance), 1e-6)))
+    step = F.when(F.abs(long) < float("inf"), step)  # null for null, NaN and infinity
+    rows = tell.select(*(F.col(c).alias(x) for c, x in ((key, "k"), (vendor, "v"), (name, "n"), (pack, "p"), (folder, "f"), (seconds, "s"))), (words >= 2).alias("far"), step.alias("step"))
+    rows = rows.where("v IS NOT NULL AND (far OR p IS NOT NULL AND f IS NOT NULL)")
+    at = lambda step: F.struct(F.expr("IF(far, NULL, p) AS p"), F.expr("IF(far, NULL, f) AS f"), F.col(step).alias("step"))  # noqa: E731  nulls in structs are equal
+    steps = F.when(F.col("step").isNull(), F.array("step")).otherwise(F.array("step", F.col("step") + 1, F.lit(None)))
+    left, right = rows.withColumn("at", at("step")), rows.withColumn("to", F.explode(steps)).withColumn("at", at("to"))
+    met = _met(left, right, "k", ["v", "n", "at"], "step <=> to")
+    once = F.when(F.col("x.step").eqNullSafe(F.col("y.step")), F.col("x.k") < F.col("y.k")).otherwise(F.col("x.k") != F.col("y.k"))
+    alike = F.coalesce(F.abs(F.col("x.s") - F.col("y.s")) <= tolerance * F.greatest("x.s", "y.s"), F.lit(True))
+    same = F.when(F.col("x.p") == F.col("y.p"), F.col("x.f") == F.col("y.f")).otherwise(F.col("x.far"))
+    return met.where(once & alike & same).select(F.least("x.k", "y.k").alias("a"), F.greatest("x.k", "y.k").alias("b"))
 
 
 def number_sets(items: DataFrame, group: str, number: str, root: str, tolerance: float = 0.5, least: int = 3, majority: float = 2 / 3) -> DataFrame:

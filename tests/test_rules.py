@@ -1,6 +1,7 @@
 """Rules over names, audio measures, settings and stored tables, on small cases."""
 
 import json
+import time
 
 import numpy as np
 import pytest
@@ -45,6 +46,34 @@ def test_editions_sets_and_safe_names(spark):
     assert column(spark, ["200", "60", "401"], lambda x: T.fold_half_open(x.cast("double"), 100.0, 200.0)) == [100.0, 120.0, 100.25]
 
 
+def test_editions_equal_all_pairs(spark, monkeypatch):
+    monkeypatch.setattr(routing, "BLOCK_ROWS", 5)
+    lengths = [None, float("nan"), float("inf"), -3.0, 0.0, 1e-310, 9.5, 10.0, 10.5, 10.53, 11.0, 1e300]
+    rows = [(i % 170, "v" if i % 7 else None, "pq"[i % 2] if i % 5 else None, "fg"[i % 3 // 2] if i % 11 else None, ("hit 87", "keys c3", "slap", "hit")[i % 4], lengths[i * i % 12]) for i in range(180)]
+    rows += [(200 + i, "w", "p", "f", "hot one", 20.0 + i / 20) for i in range(40)]
+    df = spark.createDataFrame(rows, "id long, v string, p string, f string, n string, s double")
+    df.createOrReplaceTempView("edition_items")
+    for tolerance in (0.0, 0.05, 0.5, 1.5):
+        alike = f"coalesce(abs(x.s - y.s) <= {tolerance}D * greatest(x.s, y.s), true) AND CASE WHEN x.p = y.p THEN x.f = y.f ELSE x.n NOT IN ('hit 87') END"
+        want = spark.sql(f"SELECT x.id a, y.id b FROM edition_items x JOIN edition_items y ON x.v = y.v AND x.n = y.n AND x.id < y.id WHERE x.n RLIKE '[0-9]| ' AND {alike}").collect()
+        got = routing.edition_pairs(df, "id", "v", "p", "f", "n", "s", tolerance).collect()
+        assert len(want) > 100 and sorted(got) == sorted(want)
+
+
+def test_editions_of_far_lengths_do_not_meet(spark):
+    rows = [(1, "v", "p", "f", "hit 87", 2_000_000_000), (2, "v", "p", "f", "hit 87", -2_000_000_000), (3, "v", "p", "f", "hit 87", 1_990_000_000)]
+    df = spark.createDataFrame(rows, "id long, v string, p string, f string, n string, s int")
+    assert [tuple(r) for r in routing.edition_pairs(df, "id", "v", "p", "f", "n", "s").collect()] == [(1, 3)]  # lengths of 1 and 2 differ by more than an int holds
+
+
+def test_editions_of_one_name_grow_with_the_pairs(spark):
+    rows = spark.range(300_000).selectExpr("id", "'v' AS v", "'p' AS p", "'f' AS f", "'hit 87' AS n", "exp(floor(id / 2) * 1e-5D) AS s")
+    began = time.monotonic()
+    got = routing.edition_pairs(rows, "id", "v", "p", "f", "n", "s", 1e-6).agg(F.count(F.lit(1)).alias("n"), F.max(F.col("b") - F.col("a")).alias("far")).first()
+    assert (got.n, got.far) == (150_000, 1)
+    assert time.monotonic() - began < 30  # 45 billion pairs share the name
+
+
 def test_numbers_that_are_notes(spark):
     rows = [("a", n, n + 24.0 + (12 if n == 61 else 0)) for n in (40, 41, 45, 61)] + [("b", n, 60.0) for n in (1, 2, 3, 4)] + [("c", 1, 25.0), ("c", 2, 26.0), ("d", 1, None)]
     got = routing.number_sets(spark.createDataFrame(rows, "g string, n int, r double"), "g", "n", "r").collect()
